@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from tessera.llm import chat
 from tessera.llm.bpe import op3_bpe
+from tessera.llm.chat import op4_chat
+from tessera.llm.decontaminate import op7_decontaminate
+from tessera.llm.secrets import op6_secrets
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_chat": op4_chat,
+    "op6_secrets": op6_secrets,
+    "op7_decontaminate": op7_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_chat": chat.SQL,
+}
