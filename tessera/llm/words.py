@@ -51,7 +51,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _RUNS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_BYTES, _RUNS, _OTHER = _Powers(_BYTE_BASE), _Powers(_WORD_BASE), _Powers(0xA24BAED4963EE407)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -75,15 +75,15 @@ class Words:
     #: For each row, the place of its first word (one more entry at the end).
     first: np.ndarray
 
-    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts (as word numbers) and hashes of all runs of k words within one row."""
+    def runs(self, k: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Starts (as word numbers) and hashes of all runs of k words within one row; other: a second, independent hash."""
         n = len(self.hash) - k + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.row[:n] == self.row[k - 1 :])
-        up, down = _RUNS.get(len(self.hash) + 1)
+        up, down = (_OTHER if other else _RUNS).get(len(self.hash) + 1)
         total = np.zeros(len(self.hash) + 1, np.uint64)
-        np.cumsum(self.hash * down[:-1], out=total[1:])
+        np.cumsum((mix(self.hash ^ np.uint64(_BYTE_BASE)) if other else self.hash) * down[:-1], out=total[1:])
         return at, mix((total[at + k] - total[at]) * up[at])
 
     def whole(self, row: int) -> np.uint64:
