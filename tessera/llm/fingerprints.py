@@ -22,6 +22,8 @@ text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,12 +55,15 @@ def lexicon(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(IDS // 64))), ",").cast("array<bigint>")
 
 
-def signature(text: Column, bitmap: Column) -> Column:
-    """One hash for each subset (null: no term), and one more of the whole text for texts without a term in the band."""
+def in_band(text: Column, bitmap: Column) -> Column:
+    """The sorted distinct hashed terms of a text whose ids are in the lexicon."""
     low = lambda h: h.bitwiseAND(IDS - 1)
     inside = lambda h: F.call_function("getbit", F.get(bitmap, F.shiftright(low(h), 6).cast("int")), low(h).bitwiseAND(63).cast("int")) == 1
-    chosen = F.array_sort(F.filter(terms(text), inside))
-    return chosen
+    return F.array_sort(F.filter(terms(text), inside))
+
+
+def _clear(mask: int) -> Callable[[Column], Column]:
+    return lambda h: h.bitwiseAND(F.lit(mask)) == 0
 
 
 def marks(chosen: Column, text: Column) -> Column:
@@ -67,7 +72,7 @@ def marks(chosen: Column, text: Column) -> Column:
     for draw in range(DRAWS):
         for fraction in FRACTIONS:
             mask = ((1 << fraction) - 1) << (20 + 11 * draw)
-            part = F.filter(chosen, lambda h, m=mask: h.bitwiseAND(F.lit(m)) == 0)
+            part = F.filter(chosen, _clear(mask))
             out.append(F.when(F.size(part) > 0, F.xxhash64(F.lit(draw), F.lit(fraction), part)))
     whole = F.when(F.size(chosen) == 0, F.xxhash64(text))
     return F.array(*out, whole)
@@ -89,7 +94,7 @@ def fingerprint(docs: DataFrame, bitmap: Column | None = None) -> DataFrame:
     """doc_id, text (null: empty), marks of each row of docs."""
     bitmap = lexicon(docs) if bitmap is None else bitmap
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return read.withColumn("chosen", signature(F.col("text"), bitmap)).select("doc_id", "text", marks(F.col("chosen"), F.col("text")).alias("marks"))
+    return read.withColumn("chosen", in_band(F.col("text"), bitmap)).select("doc_id", "text", marks(F.col("chosen"), F.col("text")).alias("marks"))
 
 
 def with_next(rows: DataFrame) -> DataFrame:
@@ -119,5 +124,5 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - k), F.substr("next.text", F.lit(1), k))
     made = rows.select("doc_id", n.cast("long").alias("n_chars"), "marks", F.col("next.marks").alias("next_marks"), edited.alias("edited"))
-    marked = made.withColumn("chosen", signature(F.col("edited"), bitmap)).withColumn("edited_marks", marks(F.col("chosen"), F.col("edited")))
+    marked = made.withColumn("chosen", in_band(F.col("edited"), bitmap)).withColumn("edited_marks", marks(F.col("chosen"), F.col("edited")))
     return marked.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written_out(F.col("marks")).alias("fingerprint"), written_out(F.col("edited_marks")).alias("edited_fingerprint"), likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), likeness(F.col("marks"), F.col("next_marks")).alias("near_next"))

@@ -6,13 +6,17 @@ from tessera.llm import chat
 from tessera.llm.bpe import op3_bpe
 from tessera.llm.chat import op4_chat
 from tessera.llm.decontaminate import op7_decontaminate
+from tessera.llm.fingerprints import op8_fingerprints
 from tessera.llm.secrets import op6_secrets
+from tessera.llm.substrings import op9_substrings
 
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_chat": op4_chat,
     "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_substrings": op9_substrings,
 }
 
 ORACLES: dict[str, str] = {
