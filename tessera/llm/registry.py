@@ -7,10 +7,14 @@ from tessera.llm.bpe import op3_bpe
 from tessera.llm.chat import op4_chat
 from tessera.llm.decontaminate import op7_decontaminate
 from tessera.llm.fingerprints import op8_fingerprints
+from tessera.llm.html import op2_html
+from tessera.llm.quality import op1_quality
 from tessera.llm.secrets import op6_secrets
 from tessera.llm.substrings import op9_substrings
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_html": op2_html,
     "op3_bpe": op3_bpe,
     "op4_chat": op4_chat,
     "op6_secrets": op6_secrets,
