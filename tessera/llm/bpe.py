@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding over the corpus's distinct words.
 
-Each task turns its documents into blocks of about 4 MB: the block's distinct
+Each task turns its documents into blocks of about 8 MB: the block's distinct
 pre-tokens, and each document as positions into them.  The words of all blocks
-meet in one shuffle by word, each distinct word is encoded once, its ids go back
-to the blocks that have it, and every block puts its documents together again by
+meet in one shuffle by the word's hash, in which each block has one packed row for each
+part of the hash space; each distinct word is encoded once, its ids go back to the
+blocks that have it, and every block puts its documents together again by
 position.  Only words and packed positions are shuffled, never the texts.
 
 Decoding looks the ids up in the token-byte table, whose size is that of the
@@ -21,7 +22,9 @@ import hashlib
 import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import accumulate, count, groupby
+from operator import itemgetter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import table
-from tessera.llm.words import CHUNK
+from tessera.llm.frames import partitions, table, total_bytes
+
+#: Characters of text in a block; one longer text is a block of its own.
+BLOCK = 8 << 20
 
 #: Vocabularies over this size (bytes of tokens) are refused: their table is sent to every executor.
 MAX_TABLE = 64 << 20
@@ -114,29 +119,57 @@ class Decoder:
             yield self.data[shift + np.arange(len(shift))].tobytes()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], find) -> Iterator[tuple[int, list, list[np.ndarray], list[str]]]:
-    """(block, doc_ids, positions of each document, words) for runs of documents of about CHUNK characters."""
+def _blocks(batches: Iterator[pa.RecordBatch], find: Callable[[str], list[str]], parts: int) -> Iterator[tuple[int, list, list[np.ndarray], list[tuple[int, list[str]]]]]:
+    """(block, doc_ids, positions of each document, words by part) for runs of documents of about BLOCK characters.
+
+    Positions count through the words of all parts, in order of part and word.
+    """
     task = TaskContext.get()
     number = count((task.partitionId() if task else 0) << 32)
-    ids, streams, held, words = [], [], 0, None
+
+    def done(words: dict[str, int]) -> tuple[int, list, list[np.ndarray], list[tuple[int, list[str]]]]:
+        named = sorted((crc32(w.encode("utf-8", "surrogatepass")) % parts, w, i) for w, i in words.items())
+        place = np.empty(len(named), np.uint32)
+        place[[i for _, _, i in named]] = np.arange(len(named), dtype=np.uint32)
+        by_part = [(p, [w for _, w, _ in group]) for p, group in groupby(named, itemgetter(0))]
+        return next(number), ids, [place[s] for s in streams], by_part
+
+    ids, streams, held, words = [], [], 0, defaultdict(count().__next__)
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if words is None:
-                words = defaultdict(count().__next__)
             text = text.as_py() or ""
             ids.append(doc_id)
             streams.append(np.fromiter(map(words.__getitem__, find(text)), np.uint32))
             held += len(text)
-            if held >= CHUNK:
-                yield next(number), ids, streams, list(words)
-                ids, streams, held, words = [], [], 0, None
+            if held >= BLOCK:
+                yield done(words)
+                ids, streams, held, words = [], [], 0, defaultdict(count().__next__)
     if ids:
-        yield next(number), ids, streams, list(words)
+        yield done(words)
+
 
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays as compressed bytes, with their sizes before them."""
+    raw = b"".join(a.tobytes() for a in arrays)
+    return np.array([len(raw), *(a.nbytes for a in arrays)], "<i8").tobytes() + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
-def _mark(words: list[str]) -> bytes:
-    """Tells apart lists of words."""
-    return hashlib.blake2b("\0".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+def _unpack(data: bytes, kinds: list) -> list[np.ndarray]:
+    size, *sizes = np.frombuffer(data, "<i8", len(kinds) + 1).tolist()
+    raw = pa.decompress(data[8 * (len(kinds) + 1) :], size, codec="zstd", asbytes=True) if size else b""
+    edges = [0, *accumulate(sizes)]
+    return [np.frombuffer(raw[a:b], kind) for a, b, kind in zip(edges, edges[1:], kinds, strict=False)]
+
+
+def _pack_words(words: list[str]) -> bytes:
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    return _pack([np.fromiter(map(len, raw), "<u4", len(raw)), np.frombuffer(b"".join(raw), np.uint8)])
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    sizes, letters = _unpack(data, ["<u4", np.uint8])
+    letters, edges = letters.tobytes(), [0, *accumulate(sizes.tolist())]
+    return [letters[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -> DataFrame:
@@ -146,59 +179,64 @@ def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -
     """
     spark = docs.sparkSession
     split = split or pattern()
-    found = spark.sparkContext.broadcast(ranks(path or vocabulary_path()))
+    held = ranks(path or vocabulary_path())
+    found = spark.sparkContext.broadcast(held)
+    kind = "<u2" if max(held.values(), default=0) < 1 << 16 else "<u4"
     newer = newer_characters(split)
     docs = docs.select("doc_id", "text")
+    parts = int(max(partitions(spark), total_bytes(docs) // BLOCK))
 
-    def to_words(batches):
-        for block, _, _, words in _blocks(batches, finder(split, newer)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.string())], ["block", "at", "word"])
+    def to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, _, by_part in _blocks(batches, finder(split, newer), parts):
+            packed = [_pack_words(w) for _, w in by_part]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(packed), pa.int64()), pa.array([p for p, _ in by_part], pa.int32()), pa.array(packed, pa.binary())], ["block", "part", "words"])
 
-    def to_streams(batches):
-        for block, ids, streams, words in _blocks(batches, finder(split, newer)):
-            kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
-            packed = pa.compress(np.concatenate(streams).astype(kind).tobytes(), codec="zstd", asbytes=True)
-            yield pa.RecordBatch.from_pylist([{"block": block, "ids": ids, "sizes": list(map(len, streams)), "width": np.dtype(kind).itemsize, "words": len(words), "mark": _mark(words), "stream": packed}], pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("width", pa.int32()), ("words", pa.int32()), ("mark", pa.binary()), ("stream", pa.binary())]))
+    def to_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, streams, by_part in _blocks(batches, finder(split, newer), parts):
+            wide = np.uint16 if sum(len(w) for _, w in by_part) <= 1 << 16 else np.uint32
+            row = {"block": block, "ids": ids, "sizes": list(map(len, streams)), "width": np.dtype(wide).itemsize, "marks": [crc32(_pack_words(w)) for _, w in by_part], "stream": _pack([np.concatenate(streams).astype(wide)])}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("width", pa.int32()), ("marks", pa.list_(pa.int64())), ("stream", pa.binary())]))
 
-    def encode_words(batches):
+    def encode_part(part: pa.Table) -> pa.Table:
         import tiktoken
 
         single = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=found.value, special_tokens={})._encode_single_piece
-        for batch in batches:
-            out = [np.array(single(w), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["word", "ids"])
+        known: dict[bytes, np.ndarray] = {}
+        out, marks = [], []
+        for packed in part.column("words").to_pylist():
+            words = _unpack_words(packed)
+            for w in words:
+                if w not in known:
+                    known[w] = np.array(single(w), kind)
+            ids = [known[w] for w in words]
+            out.append(_pack([np.fromiter(map(len, ids), "<u4", len(ids)), np.concatenate(ids)]))
+            marks.append(crc32(packed))
+        return pa.table({"block": part.column("block"), "part": part.column("part"), "mark": pa.array(marks, pa.int64()), "ids": pa.array(out, pa.binary())})
 
     def together(words: pa.Table, blocks: pa.Table) -> pa.Table:
-        at = words.column("at").to_numpy()
-        order = np.argsort(at)
-        ids = words.column("ids").combine_chunks().take(pa.array(order))
-        if isinstance(ids, pa.ChunkedArray):
-            ids = ids.combine_chunks()
-        names = words.column("word").to_pylist()
-        parts = ids.to_pylist()
-        lengths = np.fromiter((len(x) // 4 for x in parts), np.int64, len(parts))
-        flat, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(lengths) - lengths
+        rows = sorted(words.to_pylist(), key=itemgetter("part"))
+        pieces = [_unpack(r["ids"], ["<u4", kind]) for r in rows]
+        lengths = np.concatenate([np.zeros(0, "<u4"), *(p[0] for p in pieces)]).astype(np.int64)
+        flat, starts = np.concatenate([np.zeros(0, kind), *(p[1] for p in pieces)]).astype("<u4"), np.cumsum(lengths) - lengths
         doc_ids, out = [], []
         for b in blocks.to_pylist():
-            if b["words"] != len(at) or b["mark"] != _mark([names[i] for i in order]):
+            if b["marks"] != [r["mark"] for r in rows]:
                 raise RuntimeError("a block's words differ between two readings of its documents")
-            size = sum(b["sizes"]) * b["width"]
-            stream = np.frombuffer(pa.decompress(b["stream"], size, codec="zstd", asbytes=True) if size else b"", np.uint16 if b["width"] == 2 else np.uint32)
+            (stream,) = _unpack(b["stream"], [np.uint16 if b["width"] == 2 else np.uint32])
             a = 0
             for doc_id, n in zip(b["ids"], b["sizes"], strict=True):
-                at_word = stream[a : a + n].astype(np.int64)
+                at = stream[a : a + n].astype(np.int64)
                 a += n
-                m = lengths[at_word]
-                shift = np.repeat(starts[at_word] - (np.cumsum(m) - m), m)
+                m = lengths[at]
+                shift = np.repeat(starts[at] - (np.cumsum(m) - m), m)
                 doc_ids.append(doc_id)
                 out.append(flat[shift + np.arange(len(shift))].tobytes())
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
-    words = docs.mapInArrow(to_words, "block long, at int, word string").repartition("word")
-    encoded = words.select("word").distinct().mapInArrow(encode_words, "word string, ids binary")
-    back = words.join(encoded, "word").select("block", "at", "word", "ids")
-    streams = docs.mapInArrow(to_streams, "block long, ids array<long>, sizes array<long>, width int, words int, mark binary, stream binary")
-    return back.groupBy("block").cogroup(streams.groupBy("block")).applyInArrow(together, "doc_id long, ids binary")
+    words = docs.mapInArrow(to_words, "block long, part int, words binary")
+    encoded = words.groupBy("part").applyInArrow(encode_part, "block long, part int, mark long, ids binary")
+    streams = docs.mapInArrow(to_streams, "block long, ids array<long>, sizes array<long>, width int, marks array<long>, stream binary")
+    return encoded.groupBy("block").cogroup(streams.groupBy("block")).applyInArrow(together, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
