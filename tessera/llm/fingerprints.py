@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import block_of, partitions, range_bounds, table
+from tessera.llm.frames import block_of, constant, partitions, range_bounds, table
 
 IDS = 1 << 20
 #: The band: a term's share of documents. Commoner terms say little, rarer ones change with any edit.
@@ -52,7 +52,7 @@ def lexicon(docs: DataFrame) -> Column:
     word = F.shiftright("id", 6)
     bits = band.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(id & 63))")).alias("bits"))
     held = dict(bits.collect())  # at most IDS / 64 rows
-    return F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(IDS // 64))), ",").cast("array<bigint>")
+    return constant([held.get(i, 0) for i in range(IDS // 64)])
 
 
 def in_band(text: Column, bitmap: Column) -> Column:
@@ -108,7 +108,7 @@ def with_next(rows: DataFrame) -> DataFrame:
     last = len(bounds)
     block = block_of("doc_id", bounds)
     starts = F.col("doc_id").eqNullSafe(F.lit(None if least is None else least.doc_id).cast("bigint"))
-    edge = F.get(F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>"), F.col("block") - 1) if bounds else F.lit(None).cast("bigint")
+    edge = F.get(constant(bounds), F.col("block") - 1) if bounds else F.lit(None).cast("bigint")
     guard = F.when(starts, F.lit(last)).when(F.col("doc_id") == edge, F.col("block") - 1)
     own = F.struct(F.col("block").alias("block"), F.lit(0).alias("guard"))
     dealt = rows.withColumn("block", block).withColumn("to", F.explode(F.when(guard.isNotNull(), F.array(own, F.struct(guard.cast("int").alias("block"), F.lit(1).alias("guard")))).otherwise(F.array(own)))).drop("block").select("*", "to.*").drop("to")

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: With this, an execution's shuffle files go when it has ended, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,7 +39,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.parquet(path)
 
 
@@ -55,23 +68,19 @@ def range_bounds(df: DataFrame, key: str, blocks: int) -> list[int]:
     return sorted(set(row.q or []) - {row.least})
 
 
-def block_of(key: str, bounds: list[int]) -> Column:
-    """The number of bounds that are not above the key (a null key: 0).
+def constant(numbers: list[int]) -> Column:
+    """A constant array of integers, as one short expression however long it is."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>") if numbers else F.array().cast("array<bigint>")
 
-    A binary search over a constant array: Spark has no width_bucket over given bounds.
-    """
+
+def block_of(key: str, bounds: list[int]) -> Column:
+    """The number of bounds that are not above the key (a null key: 0), by a look at every step-th bound and then within a step."""
     if not bounds:
         return F.lit(0)
-    edges = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
-    low, size = F.lit(0), 1
-    while size * 2 <= len(bounds):
-        size *= 2
+    step = max(1, round(len(bounds) ** 0.5))
     col = F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)))
-    while size:
-        at = low + F.lit(size)
-        low = F.when((at <= len(bounds)) & (F.get(edges, at - 1) <= col), at).otherwise(low)
-        size //= 2
-    return low.cast("int")
+    base = F.size(F.filter(constant(bounds[step - 1 :: step]), lambda e: e <= col)) * step
+    return (base + F.size(F.filter(F.slice(constant(bounds), base + 1, F.lit(step)), lambda e: e <= col))).cast("int")
 
 
 def total_bytes(df: DataFrame, name: str = "text") -> int:
@@ -81,3 +90,9 @@ def total_bytes(df: DataFrame, name: str = "text") -> int:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_order(block: pa.Table) -> list[int]:
+    """Row numbers of a block (doc_id, text) in order of doc_id (null first) and text."""
+    ids, texts = block.column("doc_id").to_pylist(), block.column("text").cast(pa.binary()).to_pylist()
+    return sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or b""))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import block_of, partitions, range_bounds, table, total_bytes
+from tessera.llm.frames import block_of, in_order, partitions, range_bounds, table, total_bytes
 from tessera.llm.words import NOT_SPACE, Words, words
 
 WINDOW = 20
@@ -35,7 +35,7 @@ PART_WINDOWS = 2_000_000
 def _sorted_rows(block: pa.Table) -> tuple[list, list[bytes]]:
     ids = block.column("doc_id").to_pylist()
     texts = [t or b"" for t in block.column("text").cast(pa.binary()).to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
+    order = in_order(block)
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
