@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding over the corpus's distinct words.
 
-Each task turns its documents into blocks of about 8 MB: the block's distinct
+Each task turns its documents into blocks of about 6 MB: the block's distinct
 pre-tokens, and each document as positions into them.  The words of all blocks
 meet in one shuffle by the word's hash, in which each block has one packed row for each
 part of the hash space; each distinct word is encoded once, its ids go back to the
@@ -22,7 +22,7 @@ import hashlib
 import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import accumulate, count, groupby
+from itertools import accumulate, count
 from operator import itemgetter
 from zlib import crc32
 
@@ -30,12 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.frames import partitions, table, total_bytes
 
 #: Characters of text in a block; one longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 
 #: Vocabularies over this size (bytes of tokens) are refused: their table is sent to every executor.
 MAX_TABLE = 64 << 20
@@ -119,19 +118,23 @@ class Decoder:
             yield self.data[shift + np.arange(len(shift))].tobytes()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], find: Callable[[str], list[str]], parts: int) -> Iterator[tuple[int, list, list[np.ndarray], list[tuple[int, list[str]]]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], find: Callable[[str], list[str]], parts: int) -> Iterator[tuple[int, list, list[np.ndarray], list[tuple[int, list[bytes]]]]]:
     """(block, doc_ids, positions of each document, words by part) for runs of documents of about BLOCK characters.
 
-    Positions count through the words of all parts, in order of part and word.
+    Positions count through the words of all parts, in order of part and of first use.
     """
     task = TaskContext.get()
     number = count((task.partitionId() if task else 0) << 32)
 
-    def done(words: dict[str, int]) -> tuple[int, list, list[np.ndarray], list[tuple[int, list[str]]]]:
-        named = sorted((crc32(w.encode("utf-8", "surrogatepass")) % parts, w, i) for w, i in words.items())
-        place = np.empty(len(named), np.uint32)
-        place[[i for _, _, i in named]] = np.arange(len(named), dtype=np.uint32)
-        by_part = [(p, [w for _, w, _ in group]) for p, group in groupby(named, itemgetter(0))]
+    def done(words: dict[str, int]) -> tuple[int, list, list[np.ndarray], list[tuple[int, list[bytes]]]]:
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        part = np.fromiter(map(crc32, raw), np.uint32, len(raw)) % np.uint32(parts)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(raw), np.uint32)
+        place[order] = np.arange(len(raw), dtype=np.uint32)
+        edges = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+        order = order.tolist()
+        by_part = [(p, [raw[i] for i in order[edges[p] : edges[p + 1]]]) for p in range(parts) if edges[p] < edges[p + 1]]
         return next(number), ids, [place[s] for s in streams], by_part
 
     ids, streams, held, words = [], [], 0, defaultdict(count().__next__)
@@ -161,9 +164,13 @@ def _unpack(data: bytes, kinds: list) -> list[np.ndarray]:
     return [np.frombuffer(raw[a:b], kind) for a, b, kind in zip(edges, edges[1:], kinds, strict=False)]
 
 
-def _pack_words(words: list[str]) -> bytes:
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    return _pack([np.fromiter(map(len, raw), "<u4", len(raw)), np.frombuffer(b"".join(raw), np.uint8)])
+def _pack_words(words: list[bytes]) -> bytes:
+    return _pack([np.fromiter(map(len, words), "<u4", len(words)), np.frombuffer(b"".join(words), np.uint8)])
+
+
+def _mark(words: list[bytes]) -> int:
+    """Tells apart lists of words."""
+    return crc32(b"\0".join(words))
 
 
 def _unpack_words(data: bytes) -> list[bytes]:
@@ -189,12 +196,12 @@ def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -
     def to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, by_part in _blocks(batches, finder(split, newer), parts):
             packed = [_pack_words(w) for _, w in by_part]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(packed), pa.int64()), pa.array([p for p, _ in by_part], pa.int32()), pa.array(packed, pa.binary())], ["block", "part", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(packed), pa.int64()), pa.array([p for p, _ in by_part], pa.int32()), pa.array([_mark(w) for _, w in by_part], pa.int64()), pa.array(packed, pa.binary())], ["block", "part", "mark", "words"])
 
     def to_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, streams, by_part in _blocks(batches, finder(split, newer), parts):
             wide = np.uint16 if sum(len(w) for _, w in by_part) <= 1 << 16 else np.uint32
-            row = {"block": block, "ids": ids, "sizes": list(map(len, streams)), "width": np.dtype(wide).itemsize, "marks": [crc32(_pack_words(w)) for _, w in by_part], "stream": _pack([np.concatenate(streams).astype(wide)])}
+            row = {"block": block, "ids": ids, "sizes": list(map(len, streams)), "width": np.dtype(wide).itemsize, "marks": [_mark(w) for _, w in by_part], "stream": _pack([np.concatenate(streams).astype(wide)])}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("width", pa.int32()), ("marks", pa.list_(pa.int64())), ("stream", pa.binary())]))
 
     def encode_part(part: pa.Table) -> pa.Table:
@@ -202,7 +209,7 @@ def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -
 
         single = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=found.value, special_tokens={})._encode_single_piece
         known: dict[bytes, np.ndarray] = {}
-        out, marks = [], []
+        out = []
         for packed in part.column("words").to_pylist():
             words = _unpack_words(packed)
             for w in words:
@@ -210,8 +217,7 @@ def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -
                     known[w] = np.array(single(w), kind)
             ids = [known[w] for w in words]
             out.append(_pack([np.fromiter(map(len, ids), "<u4", len(ids)), np.concatenate(ids)]))
-            marks.append(crc32(packed))
-        return pa.table({"block": part.column("block"), "part": part.column("part"), "mark": pa.array(marks, pa.int64()), "ids": pa.array(out, pa.binary())})
+        return pa.table({"block": part.column("block"), "part": part.column("part"), "mark": part.column("mark"), "ids": pa.array(out, pa.binary())})
 
     def together(words: pa.Table, blocks: pa.Table) -> pa.Table:
         rows = sorted(words.to_pylist(), key=itemgetter("part"))
@@ -233,7 +239,7 @@ def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -
                 out.append(flat[shift + np.arange(len(shift))].tobytes())
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
-    words = docs.mapInArrow(to_words, "block long, part int, words binary")
+    words = docs.mapInArrow(to_words, "block long, part int, mark long, words binary")
     encoded = words.groupBy("part").applyInArrow(encode_part, "block long, part int, mark long, ids binary")
     streams = docs.mapInArrow(to_streams, "block long, ids array<long>, sizes array<long>, width int, marks array<long>, stream binary")
     return encoded.groupBy("block").cogroup(streams.groupBy("block")).applyInArrow(together, "doc_id long, ids binary")
@@ -252,11 +258,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of encoded; the decoded bytes are hashed in pieces."""
+def digests(encoded: DataFrame, path: str | None = None, keep: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of encoded, and its ids if they are to be kept; decoded bytes are hashed in pieces."""
     found = encoded.sparkSession.sparkContext.broadcast(ranks(path or vocabulary_path()))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep else [])]
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Decoder(found.value)
         for batch in batches:
             raw, decoded = batch.column(1).to_pylist(), []
@@ -265,10 +272,11 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 for piece in table.decode(np.frombuffer(x, "<u4")):
                     h.update(piece)
                 decoded.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array(decoded, pa.string()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents").select("doc_id", F.col("text"))))
+    return digests(encode(table(spark, sf_dir, "documents")))
