@@ -59,17 +59,17 @@ def score_amenity(spark, sf_dir):
     return table(spark, sf_dir, "part").select(col("p_partkey").alias("id"), scoring.amenity_score(col("p_type").ilike("%brass%"), col("p_name").ilike("%a%")).alias("score"), scoring.auction_score().alias("auction"))
 
 
-@query(f"with {LISTINGS}, c as (select distinct o_orderpriority as source, lower(o_orderpriority) as label from orders) select id, price, label from (select l.id, l.price, c.label, l.created_at from l left join c using (source) where contains(lower(city), 'an') order by created_at desc nulls first, id limit 20 offset 20)")
+@query(f"with {LISTINGS}, c as (select distinct o_orderpriority as source, lower(o_orderpriority) as label from orders) select id, price, label from (select l.id, l.price, c.label, l.created_at from l left join c using (source) where contains(lower(city), 'nation_1') order by created_at desc nulls first, id limit 20 offset 20)")
 def dashboard_page(spark, sf_dir):
-    rows = listings(spark, sf_dir).filter(text.matches("AN", col("city")))
+    rows = listings(spark, sf_dir).filter(text.matches("Nation_1", col("city")))
     dimension = rows.groupBy("source").agg(F.min(F.lower("source")).alias("label"))
     return relational.lookup(relational.page(rows, 2, [F.desc_nulls_first("created_at"), F.asc("id")]), dimension, "source", "label").select("id", "price", "label")
 
 
-@query("select p_partkey from part where contains(lower(p_name), 'a1') or contains(lower(p_brand), 'a1') or contains(lower(p_type), 'br')")
+@query("select p_partkey from part where contains(lower(p_name), 'red') or contains(lower(p_brand), 'red') or contains(lower(p_type), 'ec')")
 def search_multi(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    return parts.filter(text.matches("a1", col("p_name"), col("p_brand")) | text.matches("BR", col("p_type"))).select("p_partkey")
+    return parts.filter(text.matches("Red", col("p_name"), col("p_brand")) | text.matches("EC", col("p_type"))).select("p_partkey")
 
 
 @query("select count(*) as total, ceil(count(*) / 20.0)::bigint as pages from orders where o_totalprice > 10000")
@@ -83,9 +83,6 @@ def page_buttons(spark, sf_dir):
     return n.select("o_custkey", F.array_join(relational.page_buttons(lit(2).cast("bigint"), col("pages")), ",").alias("buttons"))
 
 
-RAW_PRICE = "(o_totalprice::bigint // 1000)::varchar || '.' || lpad((o_totalprice::bigint % 1000)::varchar, 3, '0') || ',50 €'"
-
-
 def raw_prices(spark, sf_dir):
     whole = F.round("o_totalprice").cast("bigint")
     return table(spark, sf_dir, "orders").select(col("o_orderkey").alias("id"), F.concat((whole / 1000).cast("bigint").cast("string"), lit("."), F.lpad((whole % 1000).cast("string"), 3, "0"), lit(",50 €")).alias("raw"))
@@ -251,10 +248,10 @@ def qb_compare(spark, sf_dir):
     return q.where("o_totalprice", "gte", 1000.5).where("o_orderkey", "lt", 1000000).where("o_custkey", "lte", 1000000).select("o_orderkey").frame()
 
 
-@query("select p_partkey from part where p_type like '%A%' and (p_name like '%1%' or p_name like '%2%') and p_brand ilike 'BRAND%' and (p_type ilike '%e%' and p_type ilike '%r%') and (p_name ilike '%A%' or p_name ilike '%3%')")
+@query("select p_partkey from part where p_type like '%O%' and (p_name like '%i%' or p_name like '%o%') and p_brand ilike 'BRAND%' and (p_type ilike '%e%' and p_type ilike '%o%') and (p_name ilike '%R%' or p_name ilike '%B%')")
 def qb_like(spark, sf_dir):
-    q = Query(table(spark, sf_dir, "part")).where("p_type", "like", "%A%").where("p_name", "like_any", ["%1%", "%2%"]).where("p_brand", "ilike", "BRAND%")
-    return q.where("p_type", "ilike_all", ["%e%", "%r%"]).where("p_name", "ilike_any", ["%A%", "%3%"]).select("p_partkey").frame()
+    q = Query(table(spark, sf_dir, "part")).where("p_type", "like", "%O%").where("p_name", "like_any", ["%i%", "%o%"]).where("p_brand", "ilike", "BRAND%")
+    return q.where("p_type", "ilike_all", ["%e%", "%o%"]).where("p_name", "ilike_any", ["%R%", "%B%"]).select("p_partkey").frame()
 
 
 @query("select o_orderkey from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus is not null")
@@ -301,10 +298,10 @@ def quota_limit(spark, sf_dir):
     return relational.take_quota(table(spark, sf_dir, "orders"), 25, [F.asc("o_orderpriority"), F.asc("o_orderkey")]).select("o_orderkey")
 
 
-@query("with p as (select p_partkey, list_filter(list_transform(string_split(replace(p_type, ' ', ' , '), ','), lambda x: trim(x)), lambda x: x <> '') as a from part) select p_partkey, array_to_string(a, ', ') as joined, len(a) as n, list_contains(a, 'BRASS') as brass from p")
+@query("with p as (select p_partkey, list_filter(list_transform(string_split(replace(p_type, ' ', ' , '), ','), lambda x: trim(x)), lambda x: x <> '') as a from part) select p_partkey, array_to_string(a, ', ') as joined, len(a) as n, list_contains(a, 'SMALL') as small from p")
 def csv_list_normalise(spark, sf_dir):
     raw = F.replace(col("p_type"), lit(" "), lit(" , "))
-    return table(spark, sf_dir, "part").select("p_partkey", text.join_csv(text.split_csv(raw)).alias("joined"), F.size(text.split_csv(raw)).cast("bigint").alias("n"), text.source_enabled(raw, lit("BRASS")).alias("brass"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.join_csv(text.split_csv(raw)).alias("joined"), F.size(text.split_csv(raw)).cast("bigint").alias("n"), text.source_enabled(raw, lit("SMALL")).alias("small"))
 
 
 @query("with x as (select p_partkey, '<r><pc1>' || p_size || '</pc1>' || chr(10) || '<pc2>B</pc2><sfc>' || p_size || ',5</sfc><ant>19' || (p_size + 40) || '</ant></r>' as xml from part) select p_partkey, regexp_extract(xml, '(?s)<pc1>(.*?)</pc1>.*?<pc2>(.*?)</pc2>', 1) || regexp_extract(xml, '(?s)<pc1>(.*?)</pc1>.*?<pc2>(.*?)</pc2>', 2) as ref, replace(regexp_extract(xml, '<sfc>(.*?)</sfc>', 1), ',', '.')::double as surface_m2, regexp_extract(xml, '<ant>(.*?)</ant>', 1)::int as year_built, 'Residencial' as use from x")
@@ -331,9 +328,9 @@ def display_values(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.display_default(F.nullif(col("p_size"), lit(1)), "-").alias("shown"), prices.amenity_adjusted(col("p_retailprice"), even, lit(False)).alias("base"), text.first_truthy(col("p_size") - col("p_size"), col("p_size")).alias("truthy"))
 
 
-@query("with d as (select o_custkey as seller, count(*) as listings, count(*) filter (where o_totalprice > 100000) as dear, avg(o_totalprice) as mean from orders group by 1) select seller, listings, dear, round(mean, 4) as mean from d")
+@query("with d as (select o_custkey as seller, count(*) as listings, count(*) filter (where o_totalprice > 100000) as dear, sum(round(o_totalprice * 100)::bigint)::bigint as cents from orders group by 1) select seller, listings, dear, cents from d")
 def seller_counters(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(col("o_custkey").alias("seller")).agg(F.count(lit(1)).alias("listings"), F.count(F.when(col("o_totalprice") > 100000, 1)).alias("dear"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    return table(spark, sf_dir, "orders").groupBy(col("o_custkey").alias("seller")).agg(F.count(lit(1)).alias("listings"), F.count(F.when(col("o_totalprice") > 100000, 1)).alias("dear"), F.sum(F.round(col("o_totalprice") * 100).cast("bigint")).alias("cents"))
 
 
 @query("select user_id from events group by 1")
