@@ -51,8 +51,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or that with underscores before it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def range_bounds(df: DataFrame, key: str, blocks: int) -> list[int]:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import table, written
+from tessera.llm.frames import fresh, table, written
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -145,19 +145,20 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     sent back as the set of (hash) that each row needs.
     """
     columns = docs.columns
+    owner, hashes = fresh(docs, "live_doc_id"), fresh(docs, "live_hashes")
     scanned = written(scan(docs), "secrets")
     live = ownership(scanned).filter((F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES)).select("hash")
     others = scanned.select("doc_id", F.explode(F.filter("found", lambda s: s["kind"] == 3)).alias("f")).select("doc_id", F.col("f.hash").alias("hash"))
-    keys = others.join(live, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("live_hashes")).withColumnRenamed("doc_id", "live_doc_id")
-    both = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("live_doc_id")), "left").drop("live_doc_id")
+    keys = others.join(live, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias(hashes)).withColumnRenamed("doc_id", owner)
+    both = docs.join(keys, F.col("doc_id").eqNullSafe(F.col(owner)), "left").drop(owner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes = [], []
-            for value, hashes in zip(batch.column("text"), batch.column("live_hashes"), strict=True):
+            for value, live_here in zip(batch.column("text"), batch.column(hashes), strict=True):
                 text = value.as_py()
                 if text:
-                    wanted = set(hashes.as_py() or ())
+                    wanted = set(live_here.as_py() or ())
                     base = base_spans(text)
                     spans = [(a, b) for a, k, b, h in candidates(text, base) if k < 3 or h in wanted] if wanted else [(a, b) for a, _, b, _ in base]
                     out, at = [], 0

@@ -10,8 +10,8 @@ dies leaves files that no manifest names.
 
 Defined cases: null and empty texts and any other columns are stored as they are; repeated
 rows stay repeated; a row longer than the target is a shard larger than it; an empty
-table makes a version without shards; columns named like the store's own
-(_shard, _arrival) are refused with ValueError.
+table makes a version without shards; the rows' own columns may have any names, since
+the columns that the store adds are named around them (read() says how).
 """
 
 from __future__ import annotations
@@ -23,13 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.frames import CLEANUP, partitions, shared_dir, table
+from tessera.llm.frames import CLEANUP, fresh, partitions, shared_dir, table
 
 SMALL_BYTES = 2 << 20
 TARGET_BYTES = 16 << 20
 #: Shards whose sizes are within a factor of TIER of each other are of one tier; so many of one tier are merged.
 TIER, RUN = 4, 4
-OWN = ("_shard", "_arrival")
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("run", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("level", T.IntegerType())])
 
 
@@ -84,16 +83,14 @@ class Store:
 
     def append(self, df: DataFrame, key: Column, weight: Column, arrival: Column | None = None) -> int:
         """Adds the rows of df as small shards, in one version. key: what rows are dealt by; weight: a row's size in bytes; arrival: what tells arrivals apart."""
-        if taken := [c for c in df.columns if c in OWN]:
-            raise ValueError(f"columns {taken} are the store's own")
         total = df.select(F.sum(weight).alias("w")).first().w or 0
         if df.isEmpty():
             return self.commit(self.manifest())
         shards = max(1, -(-int(total) // self.small))
         arrival = F.lit(0) if arrival is None else arrival
         run = uuid.uuid4().hex
-        dealt = df.withColumn("_shard", F.pmod(F.xxhash64(arrival, key), F.lit(shards)).cast("int"))
-        self._write(dealt.repartition(max(shards, 1), "_shard").drop("_shard"), f"{self.path}/runs/{run}")
+        to = F.pmod(F.xxhash64(arrival, key), F.lit(shards)).cast("int")
+        self._write(df.repartition(shards, to), f"{self.path}/runs/{run}")
         return self.commit(self.manifest().unionByName(self._listed(run, 0)))
 
     def plan(self) -> DataFrame:
@@ -107,7 +104,7 @@ class Store:
         buckets = F.greatest(F.lit(1), F.floor(F.col("n") / 256)).cast("int")
         placed = small.join(counts.filter(F.col("n") >= RUN), "tier").withColumn("bucket", F.pmod(F.xxhash64("path"), buckets).cast("int"))
         before = F.sum("bytes").over(W.partitionBy("tier", "bucket").orderBy("path"))
-        return placed.select("path", F.concat_ws("-", "tier", "bucket", F.floor((before - F.col("bytes")) / self.target)).alias("group"), "level")
+        return placed.select("path", F.concat_ws("-", "tier", "bucket", F.floor((before - F.col("bytes")) / self.target)).alias("group"), "level", "run")
 
     def compact(self, schema: T.StructType) -> int:
         """Merges until no tier holds RUN small shards or merging makes no fewer; the newest version."""
@@ -119,20 +116,24 @@ class Store:
             if not about.n:
                 return max(self.versions(), default=0)
             run = uuid.uuid4().hex
-            old = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/runs/{r.run}" for r in self.manifest().select("run").distinct().toLocalIterator()])
-            held = old.withColumn("_shard", F.col("_metadata.file_path")).join(chosen.select(F.col("path").alias("_shard"), "group"), "_shard").drop("_shard")
-            self._write(held.repartition(max(partitions(self.spark), int(about.n)), "group"), f"{self.path}/runs/{run}", "group")
+            runs = [f"{self.path}/runs/{r.run}" for r in plan.join(groups, "group").select("run").distinct().toLocalIterator()]
+            old = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*runs)
+            shard, group = fresh(old, "_shard"), fresh(old, "_group")
+            held = old.withColumn(shard, F.col("_metadata.file_path")).join(chosen.select(F.col("path").alias(shard), F.col("group").alias(group)), shard).drop(shard)
+            self._write(held.repartition(max(partitions(self.spark), int(about.n)), group), f"{self.path}/runs/{run}", group)
             kept = self.manifest().join(chosen.select("path"), "path", "left_anti").select([f.name for f in MANIFEST])
             self.commit(kept.unionByName(self._listed(run, (about.level or 0) + 1)))
 
     def read(self, schema: T.StructType, version: int | None = None) -> DataFrame:
-        """The rows of a version with _shard, the path of the shard of each: only files that its manifest names count."""
+        """The rows of a version with _shard (under more underscores if that is a column), the path of the shard of each: only files that its manifest names count."""
         manifest = self.manifest(version)
         runs = [f"{self.path}/runs/{r.run}" for r in manifest.select("run").distinct().toLocalIterator()]
+        empty = self.spark.createDataFrame([], schema)
+        shard = fresh(empty, "_shard")
         if not runs:
-            return self.spark.createDataFrame([], schema).withColumn("_shard", F.lit(None).cast("string"))
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*runs).withColumn("_shard", F.col("_metadata.file_path"))
-        return rows.join(manifest.select(F.col("path").alias("_shard")), "_shard", "left_semi")
+            return empty.withColumn(shard, F.lit(None).cast("string"))
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*runs).withColumn(shard, F.col("_metadata.file_path"))
+        return rows.join(manifest.select(F.col("path").alias(shard)), shard, "left_semi")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
