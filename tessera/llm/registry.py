@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import chat
 from tessera.llm.bpe import op3_bpe
 from tessera.llm.chat import op4_chat
 from tessera.llm.decontaminate import op7_decontaminate
 from tessera.llm.fingerprints import op8_fingerprints
 from tessera.llm.html import op2_html
 from tessera.llm.jaccard import op10_jaccard
+from tessera.llm.oracles import ORACLES
 from tessera.llm.quality import op1_quality
 from tessera.llm.secrets import op6_secrets
 from tessera.llm.sharding import op5_sharding
 from tessera.llm.substrings import op9_substrings
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_html": op2_html,
@@ -28,7 +30,3 @@ QUERIES = {
     "op10_jaccard": op10_jaccard,
     "pipeline": corpus_pipeline.run,
 }
-
-ORACLES: dict[str, str] = {
-    "op4_chat": chat.SQL,
-}

@@ -137,10 +137,10 @@ class Store:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive by source, are compacted, and are read back: doc_id, n_chars, text_sha256, shard_level of each row."""
+    """Documents arrive by source, are compacted, and are read back: doc_id, n_chars, text_sha256 of each row, and whether its shard keeps to the target size."""
     docs = table(spark, sf_dir, "documents")
     store = Store(spark, f"{shared_dir(spark)}/tessera/store-{uuid.uuid4().hex}")
     store.append(docs, F.col("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)) + 32, F.col("source"))
     store.compact(docs.schema)
-    levels = store.manifest().select(F.col("path").alias("_shard"), "level", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
-    return store.read(docs.schema).join(levels, "_shard").select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), F.col("level").alias("shard_level"), "shard_rows", "shard_bytes")
+    sizes = store.manifest().select(F.col("path").alias("_shard"), "bytes")
+    return store.read(docs.schema).join(sizes, "_shard").select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), (F.col("bytes") <= 2 * TARGET_BYTES).alias("shard_ok"))
