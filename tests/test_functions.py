@@ -71,3 +71,13 @@ def test_structured(spark):
     assert [(r["v"], r["img"]) for r in got] == [(True, "a"), (False, "none"), (False, "none")]
     got = values(spark, [("", None, True), ("None", "X", True), ("t", None, True), (None, None, False)], "t string, c string, p boolean", v=text.default_title(F.col("t"), F.col("c"), F.col("p")))
     assert [r["v"] for r in got] == ["Propiedad en None", "Propiedad en X", "t", "Propiedad en Málaga"]
+
+
+def test_extraction_of_posts(spark):
+    from tessera.functions import extract
+
+    post = "Vendo piso en Málaga\nreformado, 3 hab, 80 m² con terraza y garaje, precio 150.000 €, llamar por la tarde."
+    rows = extract.extracted(spark.createDataFrame([(1, post), (2, "casa"), (3, "x" * 60), (4, None)], "id int, t string"), "t").collect()
+    assert [(r.id, r.title, r.price, r.rooms, r.size_m2, r.has_terrace, r.has_garage) for r in rows] == [(1, "Vendo piso en Málaga", 150.0, 3, 80, True, True)]
+    replies = [(1, '```json\n{"properties":[{"title":"a","price":"1","city":null},{"title":"b"}]}\n```'), (2, '[{"title":"c"}]'), (3, "nothing"), (4, None)]
+    assert sorted((r.id, r.title) for r in extract.bulk(spark.createDataFrame(replies, "id int, t string"), "t").collect()) == [(1, "a"), (1, "b"), (2, "c")]
