@@ -169,7 +169,7 @@ def _pack_words(words: list[bytes]) -> bytes:
 
 
 def _mark(words: list[bytes]) -> int:
-    """Tells apart lists of words."""
+    """Tells lists of words apart."""
     return crc32(b"\0".join(words))
 
 
