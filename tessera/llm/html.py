@@ -400,7 +400,10 @@ def told_by_tags(html: str) -> Page | None:
 
 def fit(pages: DataFrame, most: int = PAGES) -> Model:
     """The model from composed pages and a bounded sample of pages (page_id, html)."""
-    sample = pages.select("page_id", "html").filter("html is not null").filter(F.octet_length("html") <= PAGE_BYTES).orderBy(F.xxhash64("page_id"), "page_id").limit(most).select("html").collect()
+    known = pages.filter("page_id is not null and html is not null").filter(F.octet_length("html") <= PAGE_BYTES)
+    # the ids first: each task sends its first ids to the driver, not its first pages
+    ids = [r.page_id for r in known.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(most).collect()]
+    sample = known.filter(F.col("page_id").isin(ids)).select("html").limit(most).collect()
     rng = Random(11)
     found = [parse(compose(rng)) for _ in range(COMPOSED)]
     return learn(found + [p for r in sorted(sample) if (p := told_by_tags(r.html))])
