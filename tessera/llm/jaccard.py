@@ -13,15 +13,17 @@ larger of a pair, for the band below.
 
 Copies: documents with equal sets are one class from the start; only one of each is sketched.
 Frequent cells: a cell that more than FEW classes share is not expanded into pairs.  Most
-classes have so many other cells that each of their links is found by one of those.  The
+classes have so many other cells with a shingle, counted over the whole sketch, that no link can differ in all
+of them (more than a third of the set's size): each of their links is found by one of those.  The
 members of a frequent cell that don't (copies of one text in many variants, say) are compared by
 their sketches inside tasks, in tiles of TILE members at most; of the pairs that pass, a
 task returns a spanning forest only, nearest pairs first.  Once that is verified and merged, what passes between
 members that are still apart is verified pair by pair.
 
 Cells without a shingle say nothing and are left out, except for small sets that might have
-no other equal cell; frequent cells are counted among the first FIRST of a sketch and compared in the first VERY_FIRST.  For sets with a bound of over SLACK
-differences, that all equal cells of a link are empty or frequent has a probability under 1e-8.
+no other equal cell; members of frequent cells are compared in the first VERY_FIRST of a sketch.  What is left to chance is only
+where hashing puts a link's differences: for sets with a bound of over SLACK differences, that each of the first VERY_FIRST
+cells is empty or holds one of them has a probability under 1e-8.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked
 with nothing; under five words, all words are the one shingle; repeated rows form
@@ -47,9 +49,7 @@ SHINGLE = 5
 PERCENT = 75
 FEW = 8
 SLACK = 16
-#: A class with so many cells that are not frequent finds each of its links by them.
-ENOUGH = 40
-FIRST, VERY_FIRST, TILE = 256, 48, 2048
+VERY_FIRST, TILE = 48, 2048
 BLOCK_BYTES = 4 << 20
 PART_KEYS = 2_000_000
 PLACE = 32
@@ -100,8 +100,8 @@ def cells_of(band: int) -> int:
 
 
 def cells(sets: Sets, docs: np.ndarray, below: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the sketches of documents docs in their own band or the one below; the document of each key; 2 if its cell is one of
-    the very first, 1 if of the first, else 0; each document's number of keys in first cells."""
+    """Keys of the sketches of documents docs in their own band or the one below; the document of each key; whether its cell is one of
+    the very first; each document's number of cells with a shingle."""
     size = sets.size[docs]
     band = np.frompyfunc(lambda n: int(n).bit_length() - 1, 1, 1)(size).astype(np.int64) - below
     ok = band >= 1
@@ -126,8 +126,7 @@ def cells(sets: Sets, docs: np.ndarray, below: bool) -> tuple[np.ndarray, np.nda
     keep = held | risky[owner]
     number = np.arange(total) - base[owner]
     keys = mix(content ^ mix((band[owner] << 40 | number).astype(np.uint64)))[keep]
-    early = number < FIRST
-    return keys, docs[owner[keep]], (early.astype(np.int64) + (number < VERY_FIRST))[keep], np.stack([docs, np.bincount(owner[keep & early], minlength=len(docs))]) if len(docs) else np.zeros((2, 0), np.int64)
+    return keys, docs[owner[keep]], (number < VERY_FIRST)[keep].astype(np.int64), np.stack([docs, q - empty]) if len(docs) else np.zeros((2, 0), np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -187,7 +186,7 @@ class Join:
         return members, written(first.withColumn("block", F.shiftright("place", PLACE).cast("int")), "classes")
 
     def meetings(self, classes: DataFrame) -> DataFrame:
-        """kind, a, b, below: 0: a pair of places that share a cell; 1: a frequent first cell a and a member's place b (below is 2 or 3 if it is to be compared there); 2: b keys of place a in first cells."""
+        """kind, a, b, below: 0: a pair of places that share a cell; 1: a frequent cell a and the place b of a member to be compared there; 2: b cells with a shingle of place a; 3: b frequent cells of place a in one part."""
         parts = self.parts
 
         def send(block: pa.Table, firsts: pa.Table) -> pa.Table:
@@ -199,7 +198,7 @@ class Join:
             sets = Sets(block, docs.tolist())
             found = [cells(sets, docs, below) for below in (False, True)]
             keys = np.concatenate([f[0] for f in found])
-            place = np.concatenate([f[1] << 3 | f[2] << 1 | below for below, f in enumerate(found)])
+            place = np.concatenate([f[1] << 2 | f[2] << 1 | below for below, f in enumerate(found)])
             part = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -222,8 +221,8 @@ class Join:
                 kept = keys.astype(np.int64)
                 return _rows("kind int, a long, b long, below int", kind=np.full(len(kept), 2), a=block | kept >> 1, b=place, below=kept & 1)
             order = np.argsort(keys, kind="stable")
-            keys, place, gid = keys[order], place[order], (block | place >> 3)[order]
-            below, early = place & 1, place >> 1 & 3
+            keys, place, gid = keys[order], place[order], (block | place >> 2)[order]
+            below, early = place & 1, place >> 1 & 1
             start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             many = np.repeat(np.diff(np.concatenate([start, [len(keys)]])), np.diff(np.concatenate([start, [len(keys)]])))
             # two sets that are both sketched for the band below meet in their own band
@@ -237,9 +236,13 @@ class Join:
             found = found[:, found[0] != found[1]]
             found = found[:, np.lexsort(found)]
             fresh = np.concatenate([[True], (found[:, 1:] != found[:, :-1]).any(0)]) if found.shape[1] else np.zeros(0, bool)
-            found, hot = found[:, fresh], np.flatnonzero((many > FEW) & (early > 0))
-            name = p << PLACE | keys[hot].astype(np.int64)
-            return _rows("kind int, a long, b long, below int", kind=np.repeat([0, 1], [found.shape[1], len(hot)]), a=np.concatenate([found[0], name]), b=np.concatenate([found[1], gid[hot]]), below=np.concatenate([np.zeros(found.shape[1], np.int64), ((early[hot] > 1) & ~alone[hot]).astype(np.int64) << 1 | below[hot]]))
+            found, hot = found[:, fresh], many > FEW
+            compared = np.flatnonzero(hot & (early > 0) & ~alone)
+            load, frequent = np.unique(gid[hot] << 1 | below[hot], return_counts=True)
+            kinds = np.repeat([0, 1, 3], [found.shape[1], len(compared), len(load)])
+            a = np.concatenate([found[0], p << PLACE | keys[compared].astype(np.int64), load >> 1])
+            b = np.concatenate([found[1], gid[compared], frequent])
+            return _rows("kind int, a long, b long, below int", kind=kinds, a=a, b=b, below=np.concatenate([np.zeros(found.shape[1], np.int64), below[compared], load & 1]))
 
         sent = self.dealt.groupBy("block").cogroup(classes.select("place", "block").groupBy("block")).applyInArrow(send, "block int, part int, keys binary, places binary")
         return written(sent.groupBy("part").applyInArrow(meet, "kind int, a long, b long, below int"), "meetings")
@@ -289,12 +292,12 @@ class Join:
         """node and root of the stars of the classes' components, by links enough to connect all that are connected."""
         met = self.meetings(classes)
         stars = components(self.verify(met.filter("kind = 0").select("a", "b").distinct()))
-        hot = met.filter("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("place"), F.col("below").bitwiseAND(1).alias("below"), (F.col("below") > 1).alias("compared"))
-        load = hot.groupBy("place", "below").agg(F.count(F.lit(1)).alias("frequent"))
-        counts = met.filter("kind = 2").select(F.col("a").alias("place"), F.col("b").alias("keys"), "below")
-        free = F.col("keys") - F.col("frequent")
-        unsafe = load.join(counts, ["place", "below"]).join(classes.select("place", "n"), "place").filter((free < ENOUGH) & (free <= F.floor(F.col("n") / 3))).select("place", "below")
-        left = hot.filter("compared").join(unsafe, ["place", "below"]).select("cell", "place").distinct()
+        hot = met.filter("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("place"), "below")
+        load = met.filter("kind = 3").groupBy(F.col("a").alias("place"), "below").agg(F.sum("b").alias("frequent"))
+        counts = met.filter("kind = 2").select(F.col("a").alias("place"), F.col("b").alias("cells"), "below")
+        # a link of a set differs in a third of its size at most, so one of more free cells than that is equal
+        unsafe = load.join(counts, ["place", "below"]).join(classes.select("place", "n"), "place").filter(F.col("cells") - F.col("frequent") <= F.floor(F.col("n") / 3)).select("place", "below")
+        left = hot.join(unsafe, ["place", "below"]).select("cell", "place").distinct()
         left = written(self._tiled(written(left, "unsafe")), "tiles")
         if left.isEmpty():
             return stars

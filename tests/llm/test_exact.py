@@ -228,6 +228,23 @@ def test_jaccard(spark):
     assert jaccard.join(empty(spark)).count() == 0 and jaccard.keep_one(empty(spark)).count() == 0
 
 
+def test_jaccard_links_many_variants_near_the_threshold(spark):
+    """Groups of a text and 44 variants, each linked with little but the text itself: most cells of a variant that are not frequent are those it differs in."""
+    rng, rows = np.random.default_rng(5), []
+    for g, (words, replaced) in enumerate(((300, 8), (600, 16), (1200, 32), (2000, 53), (5000, 135))):
+        text = [f"t{g}x{x}" for x in rng.integers(0, 10**6, words)]
+        rows.append((1000 * g, " ".join(text)))
+        for i in range(1, 45):
+            mine = list(text)
+            for j in rng.choice(words, replaced, replace=False):
+                mine[j] = f"v{i}-{j}"
+            rows.append((1000 * g + i, " ".join(mine)))
+    want = joined(rows)
+    assert all(sum(1000 * g == c for _, _, c in want) > 40 for g in range(5))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert key((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == key(want)
+
+
 def test_sketches_bound_differences():
     rng = np.random.default_rng(1)
     for _ in range(200):
