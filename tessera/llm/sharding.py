@@ -82,7 +82,7 @@ class Store:
         return files.groupBy("path").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")).select("path", F.lit(run).alias("run"), "rows", "bytes", F.lit(level).alias("level"))
 
     def append(self, df: DataFrame, key: Column, weight: Column, arrival: Column | None = None) -> int:
-        """Adds the rows of df as small shards, in one version. key: what rows are dealt by; weight: a row's size in bytes; arrival: what tells arrivals apart."""
+        """Adds the rows of df as small shards, in one version. key: what rows are dealt by; weight: a row's size in bytes; arrival: a column that enters the hash rows are dealt by; each call is one arrival, whatever it holds."""
         total = df.select(F.sum(weight).alias("w")).first().w or 0
         if df.isEmpty():
             return self.commit(self.manifest())
@@ -137,7 +137,7 @@ class Store:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive by source, are compacted, and are read back: doc_id, n_chars, text_sha256 of each row, and whether its shard keeps to the target size."""
+    """All documents are appended in one arrival (source only enters the hash they are dealt by), its small shards are compacted, and the rows are read back: doc_id, n_chars, text_sha256 of each row, and whether its shard keeps to the target size."""
     docs = table(spark, sf_dir, "documents")
     store = Store(spark, f"{shared_dir(spark)}/tessera/store-{uuid.uuid4().hex}")
     store.append(docs, F.col("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)) + 32, F.col("source"))
