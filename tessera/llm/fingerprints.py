@@ -1,7 +1,8 @@
 """I-Match document fingerprints, with DataFrame functions only.
 
 Terms (lower-cased runs of letters and digits) are hashed to 64 bits.  Their
-document frequency is counted over the whole corpus by 2**20 hashed ids, so the
+document frequency is counted over the distinct texts of the whole corpus (copies, told by
+a 64-bit hash of the text, count once, however many there are) by 2**20 hashed ids, so the
 lexicon (the ids within the chosen band of inverse document frequency) is a
 bitmap of 128 KB at any size of corpus.  The distinct terms of a document within
 the band are sorted and hashed once for each of several randomised subsets of the
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 from tessera.llm.frames import block_of, constant, partitions, range_bounds, table
 
 IDS = 1 << 20
-#: The band: a term's share of documents. Commoner terms say little, rarer ones change with any edit.
+#: The band: a term's share of distinct texts. Commoner terms say little, rarer ones change with any edit.
 LEAST_SHARE, MOST_SHARE = 0.0002, 0.05
-#: A term has to be in so many documents at least to be in the lexicon of a small corpus.
+#: A term has to be in so many distinct texts at least to be in the lexicon of a small corpus.
 LEAST_DOCS = 2
 DRAWS = 4
 FRACTIONS = tuple(range(1, 9))
@@ -46,8 +47,10 @@ def terms(text: Column) -> Column:
 
 def lexicon(docs: DataFrame) -> Column:
     """The bitmap of ids within the band, as a constant array of IDS / 64 integers."""
-    ids = docs.select(F.explode(F.array_distinct(F.transform(terms(F.col("text")), lambda h: h.bitwiseAND(IDS - 1)))).alias("id"))
-    n = docs.count()
+    text = F.coalesce("text", F.lit(""))
+    held_ids = F.array_distinct(F.transform(terms(text), lambda h: h.bitwiseAND(IDS - 1).cast("int")))
+    ids = docs.select(F.xxhash64(text).alias("copy"), held_ids.alias("ids")).groupBy("copy").agg(F.first("ids").alias("ids")).select(F.explode("ids").alias("id"))
+    n = docs.select(F.xxhash64(text).alias("copy")).distinct().count()
     band = ids.groupBy("id").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(max(LEAST_DOCS, LEAST_SHARE * n), max(LEAST_DOCS, MOST_SHARE * n)))
     word = F.shiftright("id", 6)
     bits = band.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(id & 63))")).alias("bits"))

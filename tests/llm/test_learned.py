@@ -130,6 +130,22 @@ def test_fingerprint_edges(spark):
     assert fingerprints.fingerprint(empty(spark)).count() == 0
 
 
+def test_fingerprint_of_a_text_that_holds_a_third_of_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    others = [" ".join(f"w{x}" for x in rng.choice(800, 20, replace=False)) for _ in range(160)]
+    words = [f"w{x}" for x in rng.choice(800, 60, replace=False)]
+    edited = " ".join([*words[:20], "w801", *words[21:40], "w802", *words[41:]])
+    rows = list(enumerate([" ".join(words)] * 80 + others))
+    bitmap = fingerprints.lexicon(spark.createDataFrame(rows, "doc_id long, text string"))
+    asked = spark.createDataFrame([(0, rows[0][1]), (1, edited), (2, others[0])], "doc_id long, text string")
+    marked = fingerprints.fingerprint(asked, bitmap)
+    first = marked.filter("doc_id = 0").select(F.col("marks").alias("of"))
+    like = {r.doc_id: r.like for r in marked.crossJoin(first).select("doc_id", fingerprints.likeness(F.col("marks"), F.col("of")).alias("like")).collect()}
+    assert like[0] == 1 and like[1] > 0.4 and like[2] < 0.2
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
