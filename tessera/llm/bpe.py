@@ -193,56 +193,58 @@ def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -
     docs = docs.select("doc_id", "text")
     parts = int(max(partitions(spark), total_bytes(docs) // BLOCK))
 
-    def to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, by_part in _blocks(batches, finder(split, newer), parts):
-            packed = [_pack_words(w) for _, w in by_part]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(packed), pa.int64()), pa.array([p for p, _ in by_part], pa.int32()), pa.array([_mark(w) for _, w in by_part], pa.int64()), pa.array(packed, pa.binary())], ["block", "part", "mark", "words"])
+    schema = "key long, block long, part int, mark long, ids array<long>, sizes array<long>, marks array<long>, data binary"
+    fields = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("part", pa.int32()), ("mark", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("ids", "sizes", "marks")), ("data", pa.binary())])
 
-    def to_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each part that a block has words of (key: the part) and one of its documents as positions (key: below 0, the block)."""
         for block, ids, streams, by_part in _blocks(batches, finder(split, newer), parts):
+            marks = [_mark(w) for _, w in by_part]
+            rows = [{"key": p, "block": block, "part": p, "mark": m, "data": _pack_words(w)} for (p, w), m in zip(by_part, marks, strict=True)]
             wide = np.uint16 if sum(len(w) for _, w in by_part) <= 1 << 16 else np.uint32
-            row = {"block": block, "ids": ids, "sizes": list(map(len, streams)), "width": np.dtype(wide).itemsize, "marks": [_mark(w) for _, w in by_part], "stream": _pack([np.concatenate(streams).astype(wide)])}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("width", pa.int32()), ("marks", pa.list_(pa.int64())), ("stream", pa.binary())]))
+            rows.append({"key": -1 - block, "block": block, "part": np.dtype(wide).itemsize, "ids": ids, "sizes": list(map(len, streams)), "marks": marks, "data": _pack([np.concatenate(streams).astype(wide)])})
+            yield pa.RecordBatch.from_pylist(rows, fields)
 
     def encode_part(part: pa.Table) -> pa.Table:
         import tiktoken
 
-        single = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=found.value, special_tokens={})._encode_single_piece
+        out, to = [], part.slice(0, 0) if part.column("key")[0].as_py() < 0 else part
+        single = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=found.value, special_tokens={})._encode_single_piece if len(to) else None
         known: dict[bytes, np.ndarray] = {}
-        out = []
-        for packed in part.column("words").to_pylist():
-            words = _unpack_words(packed)
+        for packed in to.column("data"):
+            words = _unpack_words(packed.as_py())
             for w in words:
                 if w not in known:
                     known[w] = np.array(single(w), kind)
             ids = [known[w] for w in words]
             out.append(_pack([np.fromiter(map(len, ids), "<u4", len(ids)), np.concatenate(ids)]))
-        return pa.table({"block": part.column("block"), "part": part.column("part"), "mark": part.column("mark"), "ids": pa.array(out, pa.binary())})
+        return pa.table({"key": pa.array([-1 - b for b in to.column("block").to_pylist()], pa.int64()), "part": to.column("part"), "mark": to.column("mark"), "ids": pa.array(out, pa.binary())})
 
     def together(words: pa.Table, blocks: pa.Table) -> pa.Table:
-        rows = sorted(words.to_pylist(), key=itemgetter("part"))
-        pieces = [_unpack(r["ids"], ["<u4", kind]) for r in rows]
-        lengths = np.concatenate([np.zeros(0, "<u4"), *(p[0] for p in pieces)]).astype(np.int64)
-        flat, starts = np.concatenate([np.zeros(0, kind), *(p[1] for p in pieces)]).astype("<u4"), np.cumsum(lengths) - lengths
         doc_ids, out = [], []
-        for b in blocks.to_pylist():
-            if b["marks"] != [r["mark"] for r in rows]:
-                raise RuntimeError("a block's words differ between two readings of its documents")
-            (stream,) = _unpack(b["stream"], [np.uint16 if b["width"] == 2 else np.uint32])
-            a = 0
-            for doc_id, n in zip(b["ids"], b["sizes"], strict=True):
-                at = stream[a : a + n].astype(np.int64)
-                a += n
-                m = lengths[at]
-                shift = np.repeat(starts[at] - (np.cumsum(m) - m), m)
-                doc_ids.append(doc_id)
-                out.append(flat[shift + np.arange(len(shift))].tobytes())
+        if len(blocks) and blocks.column("key")[0].as_py() < 0:
+            rows = sorted(words.to_pylist(), key=itemgetter("part"))
+            pieces = [_unpack(r["ids"], ["<u4", kind]) for r in rows]
+            lengths = np.concatenate([np.zeros(0, "<u4"), *(p[0] for p in pieces)]).astype(np.int64)
+            flat, starts = np.concatenate([np.zeros(0, kind), *(p[1] for p in pieces)]).astype("<u4"), np.cumsum(lengths) - lengths
+            for b in blocks.to_pylist():
+                if b["marks"] != [r["mark"] for r in rows]:
+                    raise RuntimeError("a block's words differ between two readings of its documents")
+                (stream,) = _unpack(b["data"], [np.uint16 if b["part"] == 2 else np.uint32])
+                a = 0
+                for doc_id, n in zip(b["ids"], b["sizes"], strict=True):
+                    at = stream[a : a + n].astype(np.int64)
+                    a += n
+                    m = lengths[at]
+                    shift = np.repeat(starts[at] - (np.cumsum(m) - m), m)
+                    doc_ids.append(doc_id)
+                    out.append(flat[shift + np.arange(len(shift))].tobytes())
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
-    words = docs.mapInArrow(to_words, "block long, part int, mark long, words binary")
-    encoded = words.groupBy("part").applyInArrow(encode_part, "block long, part int, mark long, ids binary")
-    streams = docs.mapInArrow(to_streams, "block long, ids array<long>, sizes array<long>, width int, marks array<long>, stream binary")
-    return encoded.groupBy("block").cogroup(streams.groupBy("block")).applyInArrow(together, "doc_id long, ids binary")
+    # both groupings are by key, so the texts are split once and the one exchange of words and positions serves both
+    dealt = docs.mapInArrow(split_up, schema)
+    encoded = dealt.groupBy("key").applyInArrow(encode_part, "key long, part int, mark long, ids binary")
+    return encoded.groupBy("key").cogroup(dealt.groupBy("key")).applyInArrow(together, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
