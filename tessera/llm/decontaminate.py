@@ -1,163 +1,193 @@
 """Benchmark decontamination by a hash set of normalised test n-grams.
 
 The windows of all benchmark items (10 consecutive words, or all words of a
-shorter item) are hashed; the set of hashes goes to every executor if its size
-is within a checked bound, and each task scans its documents' windows against
-it.  Hits are verified word by word before anything is decided.
+shorter item) are hashed.  The items' texts go to every executor if they are
+within a checked bound (MAX_BENCHMARK octets); each Python worker makes their sorted hashes once (some ten times
+the texts' size in memory), and each task scans its documents' windows against
+them.  Hits are verified word by word before anything is decided.
 
-Beyond the bound, the documents' windows of matching lengths meet the
-benchmark's in a shuffle join by hash (scan_by_join); the results are equal.
+Beyond the bound, the rows are numbered and written to the shared folder, and the hashes of the documents' windows meet
+the benchmark's in a shuffle join; only hits are verified on words (hits_by_join). The results are equal, row by row.
 
 Defined cases: a null or empty text has no words and is clean; an item without
-words has no window; repeated items count once by item_id; repeated documents
+words, or with a null text or item_id, has no window; repeated items count once by item_id; repeated documents
 are scanned each by itself; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import table
-from tessera.llm.words import LETTERS, chunks, words
+from tessera.llm.frames import fresh, table, written
+from tessera.llm.words import LETTERS, Words, chunks, words
 
 WINDOW = 10
-#: Octets of benchmark text up to which its windows are sent to every executor.
-MAX_BENCHMARK = 16 << 20
+#: Octets of benchmark text up to which it is sent to every executor.
+MAX_BENCHMARK = 8 << 20
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items string, spans array<struct<start:long,end:long>>"
+_SPANS = "array<struct<start:long,end:long>>"
+_FOUND = f"n_hit long, n_items long, items string, spans {_SPANS}"
+SCHEMA = f"doc_id long, n_words long, {_FOUND}"
 
 
-def normalised(text: bytes) -> list[bytes]:
-    """The words of a text, A to Z lower-cased."""
-    return text.lower().translate(_TO_SPACE).split()
+def _said(found: Words, a: int, k: int) -> bytes:
+    """Words a to a + k of a batch, lower-cased, joined by a space."""
+    return b" ".join(found.data[found.start[j] : found.end[j]].lower() for j in range(a, a + k))
 
 
-_TO_SPACE = bytes(i if LETTERS[i] else 0x20 for i in range(256))
+def _windows(found: Words, size: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, first words, hashes) of the windows of a batch of items, by length: a shorter item is one window."""
+    n = np.diff(found.first)
+    for k in np.unique(np.minimum(n[n > 0], size)).tolist():
+        at, hashes = found.runs(k)
+        own = np.minimum(n[found.row[at]], size) == k
+        yield k, at[own], hashes[own]
 
 
-def windows_of(items: list[tuple[str, bytes]], size: int = WINDOW) -> dict[tuple[bytes, ...], set[str]]:
-    """Each window of the items (id as text, text) and the items that have it."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        w = normalised(text)
-        for i in range(max(1, len(w) - size + 1) if w else 0):
-            found.setdefault(tuple(w[i : i + size]), set()).add(item)
-    return found
+class Benchmark:
+    """Items (id as text, text as UTF-8), sent to executors; the sorted hashes are made there, once for each worker."""
 
+    def __init__(self, items: list[tuple[str, bytes]]) -> None:
+        self.items = items
 
-class Index:
-    """Windows by length, as sorted hashes for the scan and as words for the proof."""
+    def __getstate__(self) -> dict:
+        return {"items": self.items}
 
-    def __init__(self, windows: dict[tuple[bytes, ...], set[str]]) -> None:
-        self.by_length: dict[int, tuple[np.ndarray, dict[int, list[tuple[tuple[bytes, ...], set[str]]]]]] = {}
-        keys = list(windows)
-        found = words([b" ".join(k) for k in keys], LETTERS, True)
-        for k in sorted({len(x) for x in keys}):
-            at, hashes = found.runs(k)
-            exact: dict[int, list] = {}
-            for row, h in zip(found.row[at].tolist(), hashes.tolist(), strict=True):
-                if len(keys[row]) == k:
-                    exact.setdefault(h, []).append((keys[row], windows[keys[row]]))
-            self.by_length[k] = np.array(sorted(exact), np.uint64), exact
+    @cached_property
+    def found(self) -> Words:
+        return words([text for _, text in self.items], LETTERS, True)
 
-    def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str], int]]:
-        """(words, hit runs of words, items, hit words) of each text."""
-        found = words(texts, LETTERS, True)
-        sizes = np.diff(found.first)
-        hits: dict[int, list[tuple[int, int]]] = {}
-        items: dict[int, set[str]] = {}
-        for k, (sorted_hashes, exact) in self.by_length.items():
-            at, hashes = found.runs(k)
-            place = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
-            for i in np.flatnonzero(sorted_hashes[place] == hashes).tolist():
-                a = int(at[i])
-                said = tuple(found.data[found.start[j] : found.end[j]].lower() for j in range(a, a + k))
-                for window, owners in exact[int(hashes[i])]:
-                    if window == said:
-                        row = int(found.row[a])
-                        hits.setdefault(row, []).append((a - int(found.first[row]), a - int(found.first[row]) + k))
-                        items.setdefault(row, set()).update(owners)
+    @cached_property
+    def by_length(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, sorted hashes, the first word of each) of the windows."""
         out = []
-        for row, n in enumerate(sizes.tolist()):
-            runs: list[tuple[int, int]] = []
-            for a, b in sorted(hits.get(row, ())):
-                if runs and a <= runs[-1][1]:
-                    runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
-                else:
-                    runs.append((a, b))
-            out.append((n, runs, items.get(row, set()), sum(b - a for a, b in runs)))
+        for k, at, hashes in _windows(self.found):
+            order = np.argsort(hashes, kind="stable")
+            out.append((k, hashes[order], at[order].astype(np.int32)))
         return out
 
+    def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """(words, hit runs of words, items) of each text."""
+        mine, its = words(texts, LETTERS, True), self.found
+        hits: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[str]] = {}
+        for k, known, at_item in self.by_length:
+            at, hashes = mine.runs(k)
+            place = np.searchsorted(known, hashes)
+            for i in np.flatnonzero(known[np.minimum(place, len(known) - 1)] == hashes).tolist():
+                a, said = int(at[i]), None
+                row = int(mine.row[a])
+                for j in range(int(place[i]), len(known)):
+                    if known[j] != hashes[i]:
+                        break
+                    said = said or _said(mine, a, k)
+                    if _said(its, int(at_item[j]), k) == said:
+                        hits.setdefault(row, []).append((a - int(mine.first[row]), a - int(mine.first[row]) + k))
+                        items.setdefault(row, set()).add(self.items[int(its.row[at_item[j]])][0])
+        return [(n, merged(hits.get(row, ())), items.get(row, set())) for row, n in enumerate(np.diff(mine.first).tolist())]
+
+
+def merged(spans: list[tuple[int, int]] | tuple) -> list[tuple[int, int]]:
+    """Spans as maximal runs."""
+    runs: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
+        else:
+            runs.append((a, b))
+    return runs
+
+
+def _columns(found: list[tuple[list[tuple[int, int]], set[str]]]) -> list[pa.Array]:
+    spans = pa.array([[{"start": a, "end": b} for a, b in runs] for runs, _ in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    return [pa.array([sum(b - a for a, b in runs) for runs, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64()), pa.array([",".join(sorted(x)) for _, x in found], pa.string()), spans]
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode("text", "UTF-8").alias("text")).filter("item is not null and text is not null")
+
+
+def sent(benchmark: DataFrame, most: int = MAX_BENCHMARK) -> Benchmark | None:
+    """The benchmark to be sent to executors, or None if its texts and ids are over most octets."""
+    items = _items(benchmark)
+    if (items.select(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0) > most:
+        return None
+    return Benchmark([(r.item, bytes(r.text)) for r in items.toLocalIterator()])
+
 
 def contamination(docs: DataFrame, benchmark: DataFrame, most: int = MAX_BENCHMARK) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items (sorted, comma-joined), spans (hit runs of words)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode("text", "UTF-8").alias("text")).filter("item is not null and text is not null")
-    if (items.select(F.sum(F.octet_length("text"))).first()[0] or 0) > most:
-        return scan_by_join(docs, benchmark)
-    held = [(r.item, bytes(r.text)) for r in items.toLocalIterator()]
-    shared = docs.sparkSession.sparkContext.broadcast(windows_of(held))
+    held = sent(benchmark, most)
+    if held is None:
+        rows, hits, row = hits_by_join(docs.select("doc_id", "text"), benchmark)
+        counted = rows.select("doc_id", "text", row).mapInArrow(_counted, "doc_id long, row long, n_words long")
+        zero = F.lit(0).cast("long")
+        missing = {"n_hit": zero, "n_items": zero, "items": F.lit(""), "spans": F.array().cast(_SPANS)}
+        return counted.join(hits, "row", "left").select("doc_id", "n_words", *(F.coalesce(c, v).alias(c) for c, v in missing.items()))
+    shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
         for batch, texts in chunks(batches):
-            found = index.scan(texts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int64()), pa.array([len(x[2]) for x in found], pa.int64()), pa.array([",".join(sorted(x[2])) for x in found]), pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items", "spans"],
-            )
+            found = shared.value.scan(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), *_columns([x[1:] for x in found])], ["doc_id", "n_words", "n_hit", "n_items", "items", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def scan_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """What contamination() returns, for a benchmark too large to send: windows meet in a join by hash and words."""
-
-    def grams(lengths: list[int]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, texts in chunks(batches):
-                found = words(texts, LETTERS, True)
-                for k in lengths:
-                    at, hashes = found.runs(k)
-                    rows = found.row[at]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array((at - found.first[rows]).astype(np.int64)), pa.array(np.full(len(at), k, np.int32)), pa.array(hashes.view(np.int64)), pa.array([b" ".join(found.data[found.start[j] : found.end[j]].lower() for j in range(a, a + k)) for a in at.tolist()], pa.binary())], ["id", "at", "k", "hash", "said"])
-
-        return run
-
-    schema = "id long, at long, k int, hash long, said binary"
-    numbered = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("id"))
-    sizes = benchmark.select(F.least(F.lit(WINDOW), F.size(F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != ""))).alias("k"), F.col("item_id").cast("string").alias("item"), "text").filter("k > 0 and item is not null")
-    lengths = sorted(r.k for r in sizes.select("k").distinct().collect())  # at most WINDOW numbers
-    named = sizes.select("k", "item", F.xxhash64("item", "text").alias("doc_id"), "text")
-    parts = []
-    for k in lengths:
-        own = named.filter(F.col("k") == k)
-        w = own.select("doc_id", "text").mapInArrow(grams([k]), schema).join(own.select(F.col("doc_id").alias("id"), "item").distinct(), "id")
-        parts.append(w.select("item", "k", "hash", "said").distinct())
-    seen = numbered.select(F.col("id").alias("doc_id"), "text").distinct().mapInArrow(grams(lengths), schema)
-    hits = None
-    for part in parts:
-        hits = part if hits is None else hits.unionByName(part)
-    empty = F.array().cast("array<struct<start:long,end:long>>")
-    counted = numbered.mapInArrow(_counted, "doc_id long, id long, n_words long")
-    if hits is None:
-        return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"), empty.alias("spans"))
-    met = seen.join(hits, ["k", "hash", "said"]).groupBy("id").agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("k")).alias("end")))).alias("raw"), F.array_sort(F.collect_set("item")).alias("which"))
-    none = F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
-    step = lambda acc, x: F.when(F.element_at(acc, -1)["end"] >= x["start"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-    merged = met.withColumn("spans", F.slice(F.aggregate("raw", F.array(none), step), 2, 2**30))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    done = merged.select("id", n_hit.alias("n_hit"), F.size("which").cast("long").alias("n_items"), F.array_join("which", ",").alias("items"), "spans")
-    return counted.join(done, "id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), F.coalesce("spans", empty).alias("spans"))
+def hits_by_join(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """docs with numbered rows (written), what contamination() says of each row that is hit, and the number's column."""
+    number = fresh(docs, "row")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    lengths = F.filter(F.split(F.translate("said", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != "")
+    items = _items(benchmark).select("item", "text", F.decode("text", "UTF-8").alias("said"))
+    asked = sorted(r.k for r in items.select(F.least(F.lit(WINDOW), F.size(lengths)).alias("k")).filter("k > 0").distinct().collect())  # WINDOW numbers at most
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            found = words(texts, LETTERS, True)
+            for k, at, hashes in _windows(found):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found.row[at])), pa.array(np.full(len(at), k, np.int32)), pa.array(hashes.view(np.int64)), pa.array([_said(found, a, k) for a in at.tolist()], pa.binary())], ["item", "k", "hash", "said"])
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            found = words(texts, LETTERS, True)
+            for k in asked:
+                at, hashes = found.runs(k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found.row[at])), pa.array((at - found.first[found.row[at]]).astype(np.int64)), pa.array(np.full(len(at), k, np.int32)), pa.array(hashes.view(np.int64))], ["row", "at", "k", "hash"])
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            found, rows_, ats, ks, said = words(texts, LETTERS, True), [], [], [], []
+            for n, (row, spots) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for x in spots:
+                    rows_.append(row)
+                    ats.append(x["at"])
+                    ks.append(x["k"])
+                    said.append(_said(found, int(found.first[n]) + x["at"], x["k"]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows_, pa.int64()), pa.array(ats, pa.int64()), pa.array(ks, pa.int32()), pa.array(said, pa.binary())], ["row", "at", "k", "said"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(merged([(x["at"], x["at"] + x["k"]) for x in spots]), set(names)) for spots, names in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(found)], ["row", "n_hit", "n_items", "items", "spans"])
+
+    windows = written(items.select("item", "text").mapInArrow(of_items, "item string, k int, hash long, said binary").distinct(), "windows")
+    spots = rows.select(F.col(number).alias("row"), "text").mapInArrow(of_rows, "row long, at long, k int, hash long").join(windows.select("k", "hash").distinct(), ["k", "hash"], "left_semi")
+    by_row = spots.groupBy("row").agg(F.collect_list(F.struct("at", "k")).alias("spots"))
+    candidates = rows.select(F.col(number).alias("row"), "text").join(by_row, "row").select("row", "text", "spots").mapInArrow(spelled, "row long, at long, k int, said binary")
+    hits = candidates.join(windows.select("item", "k", "said"), ["k", "said"]).groupBy("row").agg(F.collect_set(F.struct("at", "k")).alias("spots"), F.collect_set("item").alias("names"))
+    return rows, written(hits.mapInArrow(together, f"row long, {_FOUND}"), "hits"), number
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in chunks(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(words(texts, LETTERS, True).first).astype(np.int64))], ["doc_id", "id", "n_words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(words(texts, LETTERS, True).first).astype(np.int64))], ["doc_id", "row", "n_words"])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,18 +195,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without an occurring window; the test runs row by row, so a row leaves or stays whole."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode("text", "UTF-8").alias("text")).filter("item is not null and text is not null")
-    if (items.select(F.sum(F.octet_length("text"))).first()[0] or 0) > MAX_BENCHMARK:
-        hit = scan_by_join(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("hit_doc_id")).distinct()
-        return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_doc_id")), "left_anti")
-    held = [(r.item, bytes(r.text)) for r in items.toLocalIterator()]
-    shared = docs.sparkSession.sparkContext.broadcast(windows_of(held))
+def clean(docs: DataFrame, benchmark: DataFrame, most: int = MAX_BENCHMARK) -> DataFrame:
+    """The rows of docs without an occurring window; each row is judged by itself, however its benchmark is met."""
+    held = sent(benchmark, most)
+    if held is None:
+        rows, hits, row = hits_by_join(docs, benchmark)
+        return rows.join(hits.select(F.col("row").alias(row)), row, "left_anti").select(docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
         for batch, texts in chunks(batches):
-            yield batch.filter(pa.array([not x[3] for x in index.scan(texts)], pa.bool_()))
+            yield batch.filter(pa.array([not runs for _, runs, _ in shared.value.scan(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,9 +7,12 @@ block has too and answers with one bit for each hash.  With that, and with what
 repeats inside it, each block marks its words.  A window that a third of all
 documents share is one hash for each block, however often the block has it.
 
-Two windows count as equal when a 64-bit hash and the part (from a second,
-independent hash) agree: a false match is expected once in 2**64 times the
-number of parts pairs of windows.
+Two windows count as equal when a 64-bit hash and the part (from a second
+polynomial) agree: a false match is expected once in 2**64 times the
+number of parts pairs of windows. Both are of word hashes that have no known collisions.
+
+What blocks and parts exchange is one row for each pair of them that has a window in common, so never more rows than windows:
+at worst, in a very large corpus, the exchange is that of a plain shuffle of windows.
 
 Defined cases: a null or empty text has no words; documents under 20 words have no
 window and stay whole; rows with one doc_id count as documents in order of their

@@ -144,9 +144,17 @@ def test_decontamination(spark):
     items = [tuple(r) for r in more.collect()]
     for rows, docs in both(spark):
         want = key(hits(rows, items))
-        assert key(decontaminate.contamination(docs, more).select("doc_id", "n_words", "n_hit", "n_items", "items").collect()) == want
-        assert key(decontaminate.contamination(docs, more, most=0).select("doc_id", "n_words", "n_hit", "n_items", "items").collect()) == want or docs.columns != ["doc_id", "text"]
-        assert decontaminate.clean(docs, more).count() == sum(not w[2] for w in want)
+        for most in (decontaminate.MAX_BENCHMARK, 0):
+            assert key(decontaminate.contamination(docs, more, most).select("doc_id", "n_words", "n_hit", "n_items", "items").collect()) == want
+            kept_rows = decontaminate.clean(docs, more, most)
+            assert kept_rows.columns == docs.columns
+            assert sorted(repr(r.doc_id) for r in kept_rows.collect()) == sorted(repr(w[0]) for w in want if not w[2])
+    hit = " ".join(f"b{i}" for i in range(12))
+    mixed = spark.createDataFrame([(1, "clean"), (1, hit), (2, hit), (3, "clean"), (3, "clean"), (None, hit), (None, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([("x", hit)], "item_id string, text string")
+    for most in (decontaminate.MAX_BENCHMARK, 0):
+        assert key(decontaminate.clean(mixed, asked, most).collect()) == key([(1, "clean"), (3, "clean"), (3, "clean"), (None, "")])
+        assert key((r.doc_id, r.n_hit, [tuple(x) for x in r.spans]) for r in decontaminate.contamination(mixed, asked, most).filter("n_hit > 0").collect()) == key([(1, 12, [(0, 12)]), (2, 12, [(0, 12)]), (None, 12, [(0, 12)])])
     assert decontaminate.contamination(docs, bench.filter("false")).filter("n_hit > 0").count() == 0
     assert decontaminate.contamination(empty(spark), bench).count() == 0
 
@@ -170,6 +178,19 @@ def test_substrings(spark):
     assert substrings.repeats(empty(spark)).count() == 0
 
 
+def test_word_hashes_tell_words_apart():
+    from tessera.llm.words import NOT_SPACE, words
+
+    text = "a"
+    while len(text) < 2048:  # equal under every polynomial modulo 2**64
+        text += text.translate(str.maketrans("ab", "ba"))
+    pool = [text, text.translate(str.maketrans("ab", "ba")), *(f"{i:0{1 + i % 19}d}" for i in range(5000)), "é", "É", "a\0", "a"]
+    found = words([" ".join(pool).encode()], NOT_SPACE, False)
+    assert len(set(found.hash.tolist())) == len(set(pool))
+    a, b = words([b"Ab \xc3\x89x"], NOT_SPACE, True), words([b"aB \xc3\x89X"], NOT_SPACE, True)
+    assert a.hash.tolist() == b.hash.tolist()
+
+
 def sets_of(rows):
     for i, t in rows:
         w = SPACED.findall((t or "").translate(LOWER))
