@@ -8,7 +8,11 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 
-SHARDING = "select doc_id, length(text) as n_chars, sha256(text) as text_sha256, true as shard_ok from documents"
+SHARDING = """
+with d as (select *, ('0x' || substr(md5(coalesce(source, '')), 1, 2))::int % 4 as arrival from documents),
+n as (select a, (select count(*) from d where arrival <= a) as rows_so_far from range(4) t(a))
+select doc_id, length(text) as n_chars, sha256(text) as text_sha256, true as shard_ok, (select string_agg(rows_so_far, ',' order by a) from n) as version_rows, (select count(*) from documents) as store_rows, 0::bigint as full_tiers from documents
+"""
 
 DECONTAMINATE = f"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, {_LETTERS}) as w from documents),

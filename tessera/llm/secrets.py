@@ -4,10 +4,11 @@ Every text is scanned once.  Base matches (assignments, access keys, long hex
 runs) always stay.  Random-looking strings beside them are only candidates: the
 hash of each is counted by distinct repositories and owners over the whole
 corpus.  What few owners have looks live and is added as a span of kind "live";
-what many have is a copied example and is not.
+what many have is a copied example and is not.  Base matches are judged in the same way, and say so.
 
 The counting shuffles (hash, owner, repository) once for each task that has it,
-so a candidate that a third of all rows hold meets as a handful of rows.
+so a candidate that a third of all rows hold is counted as a handful of rows; and only hashes that are copied examples
+meet the candidates again, in SALTS parts each, so that a hot one is no hot task.
 
 Defined cases: a null text counts as empty; an empty text has no spans; repeated
 rows are scanned each by itself; a null owner or repository counts as one owner
@@ -41,6 +42,7 @@ RANDOM = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_BITS = 3.5
 #: A candidate of more owners or repositories than these is a copied example.
 MOST_OWNERS, MOST_REPOSITORIES = 2, 3
+SALTS = 16
 
 _NAMES = re.compile(r"passw|secret|token|api_?key")
 
@@ -112,17 +114,26 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.count(F.lit(1)).alias("repositories"), F.sum("times").alias("times"))
 
 
+def copied(scanned: DataFrame) -> DataFrame:
+    """The hashes of copied examples, each with all salts."""
+    common = ownership(scanned).filter((F.col("owners") > MOST_OWNERS) | (F.col("repositories") > MOST_REPOSITORIES))
+    return common.select("hash", F.lit(True).alias("common"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int")
+
+
 def secret_spans(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
-    """Per row of docs: doc_id, spans (array of start, kind, end, owners, live), in order of start and kind.
+    """Per row of docs: row, doc_id, spans (array of start, kind, end, live), in order of start and kind.
 
     Base spans always stay, with live saying what their ownership shows; of the other candidates the live ones stay.
     """
     scanned = written(scan(docs, owner, repository), "secrets")
-    each = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    live = (F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES)
-    judged = each.join(ownership(scanned), "hash").withColumn("live", live).filter((F.col("kind") < 3) | F.col("live"))
-    spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "owners", "live"))).alias("spans"))
-    return scanned.select("row", "doc_id").join(spans, "row", "left").select("row", "doc_id", F.coalesce("spans", F.array().cast("array<struct<start:long,kind:int,end:long,owners:long,live:boolean>>")).alias("spans"))
+    each = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*").withColumn("salt", _salt())
+    judged = each.join(copied(scanned), ["hash", "salt"], "left").withColumn("live", F.col("common").isNull()).filter((F.col("kind") < 3) | F.col("live"))
+    spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
+    return scanned.select("row", "doc_id").join(spans, "row", "left").select("row", "doc_id", F.coalesce("spans", F.array().cast("array<struct<start:long,kind:int,end:long,live:boolean>>")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -132,24 +143,29 @@ def joined(spans: Column) -> Column:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(secret_spans(table(spark, sf_dir, "documents")))
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """Per row of found: doc_id, counts by kind, base_sha256, spans (all, as text), and how many base spans are copied examples."""
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] < 3)
     count_of = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
-    return secret_spans(table(spark, sf_dir, "documents")).select("doc_id", count_of(0).alias("n_assign"), count_of(1).alias("n_access"), count_of(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), count_of(3).alias("n_live"))
+    n_copied = F.size(F.filter(spans, lambda s: ~s["live"])).cast("long")
+    return found.select("doc_id", count_of(0).alias("n_assign"), count_of(1).alias("n_access"), count_of(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), count_of(3).alias("n_live"), n_copied.alias("n_copied"))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every secret span of its text replaced by mask and n_chars counted anew.
 
-    The spans are found again by base matches in place; live ones come from the corpus's ownership counts,
-    sent back as the set of (hash) that each row needs.
+    The spans are found again in place; which candidates are live comes from the corpus's ownership counts,
+    sent back as the set of hashes that each doc_id needs.
     """
     columns = docs.columns
     owner, hashes = fresh(docs, "live_doc_id"), fresh(docs, "live_hashes")
     scanned = written(scan(docs), "secrets")
-    live = ownership(scanned).filter((F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES)).select("hash")
-    others = scanned.select("doc_id", F.explode(F.filter("found", lambda s: s["kind"] == 3)).alias("f")).select("doc_id", F.col("f.hash").alias("hash"))
-    keys = others.join(live, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias(hashes)).withColumnRenamed("doc_id", owner)
+    others = scanned.select("row", "doc_id", F.explode(F.filter("found", lambda s: s["kind"] == 3)).alias("f")).select("row", "doc_id", "f.start", "f.hash").withColumn("salt", _salt())
+    keys = others.join(copied(scanned), ["hash", "salt"], "left_anti").groupBy("doc_id").agg(F.collect_set("hash").alias(hashes)).withColumnRenamed("doc_id", owner)
     both = docs.join(keys, F.col("doc_id").eqNullSafe(F.col(owner)), "left").drop(owner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
