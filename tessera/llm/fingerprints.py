@@ -1,10 +1,12 @@
 """I-Match document fingerprints, with DataFrame functions only.
 
-Terms (lower-cased runs of letters and digits) are hashed to 64 bits.  Their
-document frequency is counted over the distinct texts of the whole corpus (copies, told by
-a 64-bit hash of the text, count once, however many there are) by 2**20 hashed ids, so the
-lexicon (the ids within the chosen band of inverse document frequency) is a
-bitmap of 128 KB at any size of corpus.  The distinct terms of a document within
+Terms (lower-cased runs of letters and digits) are hashed to 64 bits.  The document frequency of each
+is counted over the distinct texts of the whole corpus (copies, told by
+a 64-bit hash of the text, count once, however many there are).  The lexicon is the set of terms within the chosen band of inverse
+document frequency. As each of them is in LEAST_SHARE of all texts at least, they are no more than a text's mean number of terms
+divided by LEAST_SHARE (a few millions), at any size of corpus. The set is sent as a Bloom bitmap, two places a term and BITS bits for each: a
+term outside the band passes with a probability under 0.5 %, always or never, so equal texts still have equal marks.
+The distinct terms of a document within
 the band are sorted and hashed once for each of several randomised subsets of the
 lexicon: DRAWS random orders of the terms, and of each the fractions 1/2 to 1/256,
 so that some subsets hold a few terms of a short document and others a few of a long one.
@@ -29,9 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import block_of, constant, partitions, range_bounds, table
+from tessera.llm.frames import block_of, constant, partitions, range_bounds, table, written
 
-IDS = 1 << 20
+#: Bits of the lexicon's bitmap for each term (rounded up to a power of two), and the fewest and most that it has; a larger lexicon is refused.
+BITS, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 28
 #: The band: a term's share of distinct texts. Commoner terms say little, rarer ones change with any edit.
 LEAST_SHARE, MOST_SHARE = 0.0002, 0.05
 #: A term has to be in so many distinct texts at least to be in the lexicon of a small corpus.
@@ -45,24 +48,38 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame) -> Column:
-    """The bitmap of ids within the band, as a constant array of IDS / 64 integers."""
+def band(docs: DataFrame) -> DataFrame:
+    """term, df of the terms (hashed) within the band."""
     text = F.coalesce("text", F.lit(""))
-    held_ids = F.array_distinct(F.transform(terms(text), lambda h: h.bitwiseAND(IDS - 1).cast("int")))
-    ids = docs.select(F.xxhash64(text).alias("copy"), held_ids.alias("ids")).groupBy("copy").agg(F.first("ids").alias("ids")).select(F.explode("ids").alias("id"))
+    copies = docs.select(F.xxhash64(text).alias("copy"), terms(text).alias("terms")).groupBy("copy").agg(F.first("terms").alias("terms"))
     n = docs.select(F.xxhash64(text).alias("copy")).distinct().count()
-    band = ids.groupBy("id").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(max(LEAST_DOCS, LEAST_SHARE * n), max(LEAST_DOCS, MOST_SHARE * n)))
-    word = F.shiftright("id", 6)
-    bits = band.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(id & 63))")).alias("bits"))
-    held = dict(bits.collect())  # at most IDS / 64 rows
-    return constant([held.get(i, 0) for i in range(IDS // 64)])
+    counted = copies.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return counted.filter(F.col("df").between(max(LEAST_DOCS, LEAST_SHARE * n), max(LEAST_DOCS, MOST_SHARE * n)))
+
+
+def _places(term: Column, bits: int) -> tuple[Column, Column]:
+    """Two places of a term in the bitmap."""
+    return term.bitwiseAND(bits - 1).cast("int"), F.shiftrightunsigned(term, 36).bitwiseAND(bits - 1).cast("int")
+
+
+def lexicon(docs: DataFrame) -> Column:
+    """The bitmap of the terms within the band, as a constant array of 64-bit integers."""
+    found = written(band(docs).select("term"), "band")
+    bits = max(LEAST_BITS, 1 << (BITS * found.count() - 1).bit_length())
+    if bits > MOST_BITS:
+        raise ValueError("the lexicon is too large to send; raise LEAST_SHARE")
+    place = found.select(F.explode(F.array(*_places(F.col("term"), bits))).alias("place"))
+    set_bit = F.expr("bit_or(shiftleft(1L, place & 63))")
+    held = dict(place.groupBy(F.shiftright("place", 6).alias("w")).agg(set_bit.alias("bits")).collect())  # at most bits / 64 rows
+    return constant([held.get(i, 0) for i in range(bits // 64)])
 
 
 def in_band(text: Column, bitmap: Column) -> Column:
-    """The sorted distinct hashed terms of a text whose ids are in the lexicon."""
-    low = lambda h: h.bitwiseAND(IDS - 1)
-    inside = lambda h: F.call_function("getbit", F.get(bitmap, F.shiftright(low(h), 6).cast("int")), low(h).bitwiseAND(63).cast("int")) == 1
-    return F.array_sort(F.filter(terms(text), inside))
+    """The sorted distinct hashed terms of a text that are in the lexicon."""
+    bits = F.size(bitmap) * 64
+    set_at = lambda p: F.call_function("getbit", F.get(bitmap, F.shiftright(p, 6)), p.bitwiseAND(63)) == 1
+    low, high = (lambda h: h.bitwiseAND(bits - 1).cast("int")), (lambda h: F.shiftrightunsigned(h, 36).bitwiseAND(bits - 1).cast("int"))
+    return F.array_sort(F.filter(terms(text), lambda h: set_at(low(h)) & set_at(high(h))))
 
 
 def _clear(mask: int) -> Callable[[Column], Column]:
@@ -74,7 +91,7 @@ def marks(chosen: Column, text: Column) -> Column:
     out = []
     for draw in range(DRAWS):
         for fraction in FRACTIONS:
-            mask = ((1 << fraction) - 1) << (20 + 11 * draw)
+            mask = ((1 << fraction) - 1) << (11 * draw)
             part = F.filter(chosen, _clear(mask))
             out.append(F.when(F.size(part) > 0, F.xxhash64(F.lit(draw), F.lit(fraction), part)))
     whole = F.when(F.size(chosen) == 0, F.xxhash64(text))

@@ -11,8 +11,9 @@ the corpus's own pages whose <article> or <main> tells the labels (PAGES at most
 Each page is worked on by itself, in one pass and without a shuffle; passes over the
 tree are loops over arrays in document order, so depth and length are not limited.
 
-Defined cases: a null or empty page has the empty text; unclosed and stray tags, comments and
-quotes are read to the end of the page; a page without main text has the empty text; repeated
+Defined cases: a null or empty page has the empty text; stray tags are skipped, and a tag, comment or quoted
+attribute that isn't closed reaches to the end of the page, as in browsers (a quote counts only after a "="); any attributes are
+allowed and none is a label; pages of any length are read in one pass; a page without main text has the empty text; repeated
 rows get equal texts; an empty table gives an empty result; columns other than
 page_id, url and html are ignored.
 """
@@ -40,8 +41,10 @@ PAGE_BYTES = 1 << 18
 #: Composed pages to learn from.
 COMPOSED = 350
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: What begins markup; all other "<" are text.
+_OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+#: White space and slashes, then an attribute: its name and, after "=", its value in quotes or bare. No part can be read in two ways.
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>=][^\s/>=]*+|=[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)("?)|'([^']*+)('?)|([^\s>"'][^\s>]*+))?)?)""")
 _NAME_WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -49,6 +52,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements whose inside is never text of the page.
 _DROPPED = frozenset("script style template noscript head title svg math textarea select button iframe object canvas audio video map".split())
 _RAW = frozenset("script style textarea title noscript iframe".split())
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 #: An opening tag closes these open elements, but not beyond the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _ENDS_SEARCH = frozenset("td th table body html article section div".split())
@@ -66,9 +70,24 @@ class Page:
     linked: list[bool] = field(default_factory=list)
 
 
-def parse(html: str) -> Page:
+def read_tag(html: str, at: int) -> tuple[int, bool, list[tuple[str, str]]]:
+    """From behind a tag's name: the place behind its ">" (-1 if it isn't closed), whether it closes itself, its attributes."""
+    found: list[tuple[str, str]] = []
+    while m := _ATTRIBUTE.match(html, at):
+        at = m.end()
+        if m[1]:
+            return at, html[at - 2] == "/", found
+        if m[3] is not None and not m[4] or m[5] is not None and not m[6]:
+            break
+        found.append((m[2].lower(), m[3] or m[5] or m[7] or ""))
+    return -1, False, found
+
+
+def parse(html: str, labels: dict[int, int] | None = None) -> Page:
+    """The variables of a page. labels: of elements, by the place of their opening tag."""
     page = Page([-1], ["html"], [[]], [None])
     stack: list[tuple[str, int, bool]] = [("", 0, True)]
+    held: dict[str, int] = defaultdict(int)  # open elements by tag
     block = at = links = 0
 
     def text(a: int, b: int) -> None:
@@ -78,14 +97,22 @@ def parse(html: str) -> Page:
 
     def pop(to: int) -> None:
         nonlocal links
-        links -= sum(t == "a" for t, _, _ in stack[to:])
+        for t, _, _ in stack[to:]:
+            held[t] -= 1
+            links -= t == "a"
         del stack[to:]
 
-    while m := _TOKEN.search(html, at):
+    while m := _OPENS.search(html, at):
         text(at, m.start())
-        at, closing, tag, attributes = m.end(), m[1], (m[2] or "").lower(), m[3]
-        if not tag:
+        if m[1] or m[2]:
+            end = html.find("-->" if m[1] else ">", m.end())
+            at = len(html) if end < 0 else end + (3 if m[1] else 1)
             continue
+        closing, tag = m[3], m[4].lower()
+        at, closed, attributes = read_tag(html, m.end())
+        if at < 0:
+            at = len(html)
+            break
         inline = tag in _INLINE
         if tag == "br":
             page.pieces.append((block, stack[-1][1], " "))
@@ -94,49 +121,45 @@ def parse(html: str) -> Page:
         if not inline:
             block += 1
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if held[tag] else ():
                 if stack[i][0] == tag:
                     pop(i)
                     break
                 if inline and stack[i][2]:
                     break
             continue
-        if tag in _DROPPED and tag != "head" and not attributes.endswith("/"):
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at) if tag in _RAW else None
-            if tag in _RAW:
-                at = end.end() if end else len(html)
-                continue
+        if tag in _RAW and not closed:
+            end = _RAW_ENDS[tag].search(html, at)
+            close = html.find(">", end.end()) if end else -1
+            at = len(html) if close < 0 else close + 1
+            continue
         if tag in _VOID:
             continue
         if not inline:
             closes, stop = _CLOSES.get(tag, ({"p"}, _ENDS_SEARCH))
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if held["p"] or any(held[t] for t in closes) else ():
                 if stack[i][0] in closes or stack[i][0] == "p":
                     pop(i)
                     break
                 if stack[i][0] in stop:
                     break
         node = stack[-1][1]
-        names, label = [], None
-        if attributes.strip("/ "):
-            for a in _ATTRIBUTE.finditer(attributes):
-                key = a[1].lower()
-                if key in ("class", "id", "role", "itemprop", "aria-label"):
-                    names += _NAME_WORDS.findall(_CAMEL.sub(" ", (a[2] or "").strip("\"'")).lower())
-                elif key == "data-label":
-                    label = int(a[2].strip("\"'"))
-                elif key in ("hidden", "aria-hidden"):
-                    names.append("hidden")
+        names, label = [], (labels or {}).get(m.start())
+        for key, value in attributes:
+            if key in ("class", "id", "role", "itemprop", "aria-label"):
+                names += _NAME_WORDS.findall(_CAMEL.sub(" ", value).lower())
+            elif key in ("hidden", "aria-hidden"):
+                names.append("hidden")
         if not inline or names or label is not None:
             page.parent.append(node)
             page.tag.append(tag)
             page.names.append(names)
             page.label.append(label)
             node = len(page.parent) - 1
-        stack.append((tag, node, not inline))
-        links += tag == "a"
-        if attributes.endswith("/") and tag in _DROPPED:
-            stack.pop()
+        if not (closed and tag in _DROPPED):
+            stack.append((tag, node, not inline))
+            held[tag] += 1
+            links += tag == "a"
     text(at, len(html))
     return page
 
@@ -304,8 +327,9 @@ PARTS = {
 HOLDERS = ("article main div section", "content post entry article article-body post-content entry-content story story-body text body main main-content post-body blog-post page-content prose")
 
 
-def compose(rng: Random) -> str:
-    """A page put together from labelled parts (data-label: 1 for main text)."""
+def compose(rng: Random) -> tuple[str, dict[int, int]]:
+    """A page put together from labelled parts, and the labels (1 for main text) by the places of the parts' tags."""
+    marks = {0: "\x00", 1: "\x01"}
 
     def said(low: int, high: int) -> str:
         n = rng.randint(low, high)
@@ -342,7 +366,7 @@ def compose(rng: Random) -> str:
             inside = rng.choice([f"<h1>{said(1, 4)}</h1>", f"<div>{said(1, 5)}</div>", f"<a href=/>{said(1, 3)}</a>"]) + rng.choice(["", links(2, 6), f"<p>{said(2, 9)}</p>"])
         else:
             inside = rng.choice([said(3, 30), f"<p>{said(3, 40)}</p>", f"<p>{said(3, 20)} <a href=/x>{said(1, 3)}</a></p>", f"&copy; {said(2, 12)}"])
-        return f'<{tag}{attributes} data-label="0">{inside}</{tag}>'
+        return f"{marks[0]}<{tag}{attributes}>{inside}</{tag}>"
 
     def body() -> str:
         out = [f"<h1>{said(2, 10)}</h1>"] if rng.random() < 0.8 else []
@@ -374,7 +398,7 @@ def compose(rng: Random) -> str:
 
     tags, names = HOLDERS
     tag = rng.choice(tags.split())
-    main = f'<{tag}{named(names) if tag in ("div", "section") or rng.random() < 0.4 else ""} data-label="1">{body()}</{tag}>'
+    main = f'{marks[1]}<{tag}{named(names) if tag in ("div", "section") or rng.random() < 0.4 else ""}>{body()}</{tag}>'
     for _ in range(rng.choice([0, 0, 1, 2])):
         wrap = rng.choice(["div", "div", "main", "section"])
         main = f"<{wrap}{named('wrapper container page row column content main inner layout grid')}>{main}</{wrap}>"
@@ -382,7 +406,13 @@ def compose(rng: Random) -> str:
     after = [part(k) for k in rng.sample(["footer", "comments", "sidebar", "share", "advert", "notice", "form", "footer"], rng.randint(1, 5))]
     if rng.random() < 0.25:
         main = f"<div{named('wrapper container page row layout grid')}>{main}{part('sidebar')}{part('comments') if rng.random() < 0.4 else ''}</div>"
-    return f"<!DOCTYPE html><html><head><title>{said(2, 8)}</title></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
+    marked = f"<!DOCTYPE html><html><head><title>{said(2, 8)}</title></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
+    pieces = re.split("([\x00\x01])", marked)
+    html, labels = pieces[0], {}
+    for mark, piece in zip(pieces[1::2], pieces[2::2], strict=True):
+        labels[len(html)] = ord(mark)
+        html += piece
+    return html, labels
 
 
 def told_by_tags(html: str) -> Page | None:
@@ -403,9 +433,9 @@ def fit(pages: DataFrame, most: int = PAGES) -> Model:
     known = pages.filter("page_id is not null and html is not null").filter(F.octet_length("html") <= PAGE_BYTES)
     # the ids first: each task sends its first ids to the driver, not its first pages
     ids = [r.page_id for r in known.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(most).collect()]
-    sample = known.filter(F.col("page_id").isin(ids)).select("html").limit(most).collect()
+    sample = known.filter(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")).select("html").collect()
     rng = Random(11)
-    found = [parse(compose(rng)) for _ in range(COMPOSED)]
+    found = [parse(*compose(rng)) for _ in range(COMPOSED)]
     return learn(found + [p for r in sorted(sample) if (p := told_by_tags(r.html))])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from html import unescape
 from random import Random
 
@@ -60,10 +61,10 @@ def test_extraction(spark):
 
 def test_extraction_of_composed_pages_and_edges(spark):
     rng = Random(11)
-    model = html.learn([html.parse(html.compose(rng)) for _ in range(250)])
+    model = html.learn([html.parse(*html.compose(rng)) for _ in range(250)])
     rng, right, n = Random(77), 0, 120
     for _ in range(n):
-        page = html.parse(html.compose(rng))
+        page = html.parse(*html.compose(rng))
         marginal = model.messages(page, html.features(page))[0]
         y = html.states(page)
         right += all((marginal[node] >= 0.5) == bool(y[node]) for _, node, said in page.pieces if said.strip() and page.tag[node] not in html._DROPPED)
@@ -76,6 +77,44 @@ def test_extraction_of_composed_pages_and_edges(spark):
     assert html.extract(odd, model).count() == 3 and html.extract(odd.filter("false"), model).count() == 0
 
 
+def test_pages_are_read_as_browsers_read_them():
+    rng = Random(11)
+    model = html.learn([html.parse(*html.compose(rng)) for _ in range(120)])
+    said = lambda page: "".join(t for _, _, t in html.parse(page).pieces)
+    assert said('<p data-label="Price">a</p><p data-label>b</p><td data-label=x>c') == "abc"
+    assert said("<p title=Don't>one</p><p>it's</p><p title='two'>x</p>") == "oneit'sx"
+    assert said("<p class='a>b ... <p>c") == said('<p class="a>b') == said("<p x") == said("<p <!-- a") == "" and said("a<p") == "a"
+    assert said("a < b <3 c<br/>d</nosuch>e<p/>f") == "a < b <3 c def"
+    assert said("<p a=b/c d = 'e>f' g=\"h'\" =i j==k>x") == "x" and said("<a href=x>y</a >z") == "yz"
+    assert html.parse("<div CLASS=x id='y z' hidden>t").names[1] == ["x", "y", "z", "hidden"]
+    assert said("<script>'</p>'</script >a<script>b</scriptx></script") == "a" and said("<!-- a > b -->c<!d>e<?f>g") == "ceg"
+    assert model.extract("<div>first text of a page, long enough to be read<p title=Don't>second</p><p>it's third</p></div>").count("\n\n") == 2
+
+
+def test_long_odd_pages_take_no_longer():
+    from time import process_time
+
+    n = 1 << 20
+    for unit in ("<a ", "<p>", "<a", "</p", "<p x='", "<!--", "<script", "<script></script ", "</b>", "<i>", "<", "< ", "<a href=\"", "<li></ul>", "&amp;", "<x =", "<p/", "<td><i>"):
+        page = unit * (n // len(unit))
+        before = process_time()
+        html.parse(page)
+        assert process_time() - before < 6, unit
+    began = process_time()
+    html.parse("<a " * (n // 3))
+    assert process_time() - began < 1
+
+
+def test_extraction_without_article_tags():
+    rng = Random(11)
+    model = html.learn([html.parse(*html.compose(rng)) for _ in range(350)])
+    words = lambda a, b: " ".join(f"word{i}" for i in range(a, b))
+    page = f"""<html><body><div class="nav"><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></div>
+    <div class="post-content" data-label="x" title=Don't><h1>{words(0, 5)}</h1><p>{words(5, 60)}</p><p>{words(60, 99)} it's</p></div>
+    <div class="comments"><h3>Comments</h3><div class="comment"><p>{words(200, 230)}</p></div></div><div class="footer">&copy; {words(300, 306)}</div></body></html>"""
+    assert model.extract(page) == "\n\n".join([words(0, 5), words(5, 60), words(60, 99) + " it's"])
+
+
 def exact_marginals(model, page):
     """By the sum over all states."""
     from itertools import product
@@ -114,6 +153,54 @@ def test_fingerprints(spark):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
 
 
+def test_fingerprints_by_brute_force(spark):
+    """The whole query, I-Match included: document frequencies over distinct texts, band, subsets, marks and likeness."""
+    import regex
+    import xxhash
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    h64 = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+    terms = lambda t: {h64(w.encode()) for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    texts = {t for _, t in rows}
+    df = Counter(h for t in texts for h in terms(t))
+    least, most = max(2, 0.0002 * len(texts)), max(2, 0.05 * len(texts))
+    band = {h for h, n in df.items() if least <= n <= most}
+    assert {r.term % 2**64: r.df for r in fingerprints.band(documents_of(spark)).collect()} == {h: df[h] for h in band}
+    bits = max(1 << 16, 1 << (32 * len(band) - 1).bit_length())
+    places = {p for h in band for p in (h % bits, (h >> 36) % bits)}
+    passes = lambda h: h % bits in places and (h >> 36) % bits in places
+    assert all(map(passes, band)) and sum(passes(h) for h in df if h not in band) <= 0.01 * len(df)
+
+    def marks(text):
+        chosen = sorted((h - 2**64 if h >> 63 else h for h in terms(text) if passes(h)))
+        out = []
+        for draw in range(4):
+            for fraction in range(1, 9):
+                part = [h for h in chosen if not h >> 11 * draw & (1 << fraction) - 1]
+                seed = h64(fraction.to_bytes(4, "little"), h64(draw.to_bytes(4, "little")))
+                for h in part:
+                    seed = h64(h.to_bytes(8, "little", signed=True), seed)
+                out.append(seed if part else None)
+        return [*out, None if chosen else h64(text.encode())]
+
+    def likeness(a, b):
+        some = [x == y for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+        return sum(some) / len(some) if some else 1.0
+
+    said = lambda m: "".join("-" if x is None else f"{x:016x}" for x in m)
+    got = {r.doc_id: r for r in fingerprints.op8_fingerprints(spark, BIG).collect()}
+    known = {t: marks(t) for t in texts}
+    for n, (i, t) in enumerate(rows):
+        after = rows[(n + 1) % len(rows)][1]
+        edited = marks(t[: len(t) - len(t) // 4] + after[: len(t) // 4])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (said(known[t]), said(edited))
+        assert np.allclose((got[i].near_edited, got[i].near_next), (likeness(known[t], edited), likeness(known[t], known[after])))
+
+
+def documents_of(spark):
+    return spark.read.parquet(f"{BIG}/documents.parquet")
+
+
 def test_fingerprint_edges(spark):
     docs = awkward(spark, extra=True)
     rows = fingerprints.with_next(fingerprints.fingerprint(docs)).collect()
