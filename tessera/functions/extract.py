@@ -20,7 +20,12 @@ def extract_fields(post: Column) -> Column:
 def extracted(posts: DataFrame, column: str, extractor: Callable[[Column], Column] = extract_fields) -> DataFrame:
     """posts with the fields of each that is long enough and has a keyword: the cheap filter stands before the extractor."""
     kept = posts.filter(text.long_enough(F.col(column)) & text.any_keyword(F.col(column)))
-    return kept.withColumn("f", extractor(F.col(column))).select("*", "f.*").drop("f").filter(F.coalesce("is_real_estate", F.lit(True)))
+    return real_estate(kept.withColumn("f", extractor(F.col(column))).select("*", "f.*").drop("f"))
+
+
+def real_estate(rows: DataFrame) -> DataFrame:
+    """Without rows that are said not to be real estate; rows that say nothing of it stay, and so do tables without the column."""
+    return rows.filter(F.coalesce("is_real_estate", F.lit(True))) if "is_real_estate" in rows.columns else rows
 
 
 def bulk(replies: DataFrame, column: str, item: str = "title string, price string, city string") -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip_ws
+
 
 def parse_price_eu(raw: Column) -> Column:
     """Continental prices: "150.000,50 €" is 150000.5. Null if it isn't a number."""
     bare = F.replace(F.replace(F.replace(raw, F.lit("€"), F.lit("")), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return F.trim(bare).try_cast("double")
+    return strip_ws(bare).try_cast("double")
 
 
 def parse_price_dot(raw: Column) -> Column:

@@ -34,5 +34,10 @@ def amenity_score(terrace: Column, garage: Column) -> Column:
     return F.when(F.coalesce(terrace, F.lit(False)) | F.coalesce(garage, F.lit(False)), 80).otherwise(60)
 
 
+def amenity_reasons(terrace: Column, garage: Column) -> Column:
+    """What the amenity score says of itself."""
+    return F.array_compact(F.array(F.when(terrace, F.lit("☀️ Terraza/Exterior")), F.when(garage, F.lit("🚗 Garaje/Parking"))))
+
+
 def auction_score() -> Column:
     return F.lit(95)

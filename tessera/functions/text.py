@@ -27,9 +27,13 @@ def any_of(text: Column, words: Sequence[str]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+#: White space of any kind, the no-break space before a euro sign too.
+BLANK = r"[\s\x1C-\x1F\x85\p{Z}]"
+
+
 def strip_ws(text: Column) -> Column:
     """Without white space of any kind at both ends; trim() takes spaces only."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
 def long_enough(text: Column, n: int = 50) -> Column:
@@ -118,8 +122,9 @@ def is_portal_listing(url: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """Targets of all links of a page, of 10 characters at least."""
-    return F.filter(F.regexp_extract_all(html, F.lit(r'<a\s[^>]*href="([^"]+)"'), F.lit(1)), lambda h: F.length(h) >= 10)
+    """Targets of all links of a page, quoted or bare, of 10 characters at least."""
+    raw = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s(?:[^>]*\s)?href\s*=\s*("[^"]+"|'[^']+'|[^\s>"']+)"""), F.lit(1))
+    return F.filter(F.transform(raw, lambda h: F.regexp_replace(h, r"""^["']|["']$""", "")), lambda h: F.length(h) >= 10)
 
 
 def group_url(group: Column) -> Column:
@@ -188,6 +193,11 @@ def source_enabled(csv: Column, name: Column) -> Column:
     return F.array_contains(split_csv(csv), name)
 
 
+def source_shown(csv: Column, name: Column) -> Column:
+    """Substring membership: what a settings page ticks, also where a source's name is part of another's."""
+    return F.coalesce(F.contains(csv, name), F.lit(False))
+
+
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -218,9 +228,11 @@ def normalise_city(city: Column) -> Column:
     return F.translate(city, "áéíóúüñÁÉÍÓÚÜÑ", "aeiouunAEIOUUN")
 
 
-def first_truthy(*values: Column) -> Column:
-    """The first value that is neither null nor zero."""
-    return F.coalesce(*(F.nullif(v, F.lit(0)) for v in values))
+def first_truthy(*values: Column, kind: str = "number") -> Column:
+    """The first value that is neither null nor zero, an empty text or an empty array. kind: number, text or array."""
+    if kind == "array":
+        return F.coalesce(*(F.when(F.size(v) > 0, v) for v in values))
+    return F.coalesce(*(F.nullif(v, F.lit("" if kind == "text" else 0)) for v in values))
 
 
 def first_image(images: Column, placeholder: str) -> Column:

@@ -37,6 +37,24 @@ def update_keys(stored: DataFrame, keys: DataFrame, on: str, values: dict[str, C
     return update_where(marked, F.col("_hit"), values).select(stored.columns)
 
 
+def patch(stored: DataFrame, patches: DataFrame, on: str) -> DataFrame:
+    """Each stored row with the values that its patch has, row by row; a null in a patch leaves the value, and unknown keys are ignored.
+    patches has one row for each key at most."""
+    given = [c for c in patches.columns if c != on]
+    both = stored.join(patches.select(on, *(F.col(c).alias(f"_p_{c}") for c in given)), on, "left")
+    return both.select([F.coalesce(f"_p_{c}", c).alias(c) if c in given else F.col(c) for c in stored.columns])
+
+
+def patch_latest(stored: DataFrame, order: Sequence[Column], on: str, values: dict[str, Column]) -> DataFrame:
+    """Sets columns of the first row by the order (the latest request, say)."""
+    return update_keys(stored, stored.orderBy(*order).limit(1), on, values)
+
+
+def scored_and_saved(stored: DataFrame, found: DataFrame, on: str, score: Column) -> DataFrame:
+    """The stored table with the rows found merged in. Their score is overwritten by score, whatever a source gave them."""
+    return upsert(stored, found.withColumn("opportunity_score", score), on)
+
+
 def delete_keys(stored: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return stored.join(keys.select(on), on, "left_anti")
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.text import matches
+
 
 def lookup(rows: DataFrame, dimension: DataFrame, on: str, first_by: str) -> DataFrame:
     """Left join with the first dimension row of each key; Catalyst broadcasts a small dimension by its size."""
@@ -83,6 +85,39 @@ def take_quota(rows: DataFrame, quota: int, order: Sequence[Column]) -> DataFram
     return rows.orderBy(*order).limit(quota)
 
 
+def quota_of(*numbers: int | None) -> int:
+    """The first number that is neither missing nor 0 (a request's, the settings', ...)."""
+    return next((n for n in numbers if n), 10)
+
+
+def shown(rows: DataFrame, term: str = "", category: object = None, mode: str = "all", hot: int = 80) -> DataFrame:
+    """What a dashboard shows of rows (title, city, category, score, is_individual): those that match the term and, if a category is
+    chosen, are of it, whatever the mode; else in mode hot those of a score of hot or more, in mode individual private sellers' ones."""
+    kept = rows.filter(matches(term, F.col("title"), F.col("city")))
+    if category is not None:
+        return kept.filter(F.col("category") == category)
+    modes = {"all": F.lit(True), "hot": F.coalesce(F.col("score") >= hot, F.lit(False)), "individual": F.coalesce("is_individual", F.lit(False))}
+    return kept.filter(modes[mode])
+
+
+def next_pending(queue: DataFrame) -> DataFrame:
+    """The one row of a queue (id, status, requested_at, ...) to be worked on next: the oldest pending one, the smallest id of several."""
+    return queue.filter("status = 'pending'").orderBy(F.asc_nulls_first("requested_at"), F.asc("id")).limit(1)
+
+
+def within_limits(rows: DataFrame, limits: dict[str, float | None]) -> DataFrame:
+    """Rows within a user's limits ("min_" or "max_" and a column); a limit that is missing or 0 doesn't count, and a null value is outside."""
+    for name, value in limits.items():
+        if value:
+            kind, _, column = name.partition("_")
+            rows = rows.filter(F.col(_LIMITED.get(column, column)) >= value if kind == "min" else F.col(_LIMITED.get(column, column)) <= value)
+    return rows
+
+
+#: Columns that limits call by a shorter name.
+_LIMITED = {"size": "size_m2"}
+
+
 def shuffled(rows: DataFrame, seed: int) -> DataFrame:
     return rows.orderBy(F.rand(seed))
 
@@ -96,10 +131,15 @@ def with_children(parents: DataFrame, children: DataFrame, on: str, order: str,
 
 
 def enriched(rows: DataFrame, registry: DataFrame) -> DataFrame:
-    """rows (ref, address, city, ...) with the registry's fields: by reference, else by address and city."""
-    by_ref = registry.filter("ref is not null").dropDuplicates(["ref"]).select("ref", F.col("surface_m2").alias("_a"), F.col("year_built").alias("_b"))
-    by_place = registry.groupBy("address", "city").agg(F.min_by("surface_m2", "ref").alias("_c"), F.min_by("year_built", "ref").alias("_d"))
-    return rows.join(by_ref, "ref", "left").join(by_place, ["address", "city"], "left").withColumns({"surface_m2": F.coalesce("_a", "_c"), "year_built": F.coalesce("_b", "_d")}).drop("_a", "_b", "_c", "_d")
+    """rows (ref, address, city, province if there is one, ...) with the registry's fields (ref, address, city, surface_m2, year_built): by
+    reference, else by address and by province or city. Of several registry rows the smallest (surface_m2, year_built) counts."""
+    said = F.min(F.struct("surface_m2", "year_built"))
+    by_ref = registry.filter("ref is not null").groupBy("ref").agg(said.alias("_a"))
+    by_place = registry.groupBy("address", F.col("city").alias("_place")).agg(said.alias("_b"))
+    place = F.coalesce(*(c for c in ("province", "city") if c in rows.columns))
+    held = rows.withColumn("_place", place).join(by_ref, "ref", "left").join(by_place, ["address", "_place"], "left")
+    found = F.coalesce("_a", "_b")
+    return held.withColumns({"surface_m2": found["surface_m2"], "year_built": found["year_built"]}).drop("_a", "_b", "_place")
 
 
 def stale(rows: DataFrame, now: Column, days: int = 10, updated: str = "updated_at") -> DataFrame:

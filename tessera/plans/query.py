@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Sequence
+from contextlib import redirect_stdout
 from functools import reduce
+from io import StringIO
+from itertools import groupby
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
@@ -18,19 +23,47 @@ def _array(values: Sequence) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def tokens(query: str) -> list[str]:
+    """The words of a search, cut as those of the texts are."""
+    return ["".join(g) for letters, g in groupby(query.lower(), str.isalnum) if letters]
+
+
+def word_line(column: Column) -> Column:
+    """A text's words, each between spaces: made once, however many words and phrases are looked for in it."""
+    words = F.filter(F.split(F.lower(column), WORD), lambda w: w != "")
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
 def text_match(column: Column, query: str, kind: str = "plain") -> Column:
     """Full-text match without stemming. plain: all words; phrase: in order, next to each other; any: one word at least;
-    websearch: all words, but none of those with a minus before them."""
-    words = F.filter(F.split(F.lower(column), WORD), lambda w: w != "")
-    asked = [w for w in query.lower().split() if w]
+    websearch: all words and quoted phrases, but none of those with a minus before them, where "or" parts alternatives; raw: words joined
+    by & and | (& first), ! before those that must not be there."""
+    line = word_line(column)
+    has = lambda said: F.contains(line, F.lit(f" {' '.join(tokens(said))} ")) if tokens(said) else F.lit(True)
+    every = lambda parts: reduce(and_, parts, F.lit(True))
     if kind == "phrase":
-        return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(asked)} "))
+        return has(query)
     if kind == "any":
-        return F.arrays_overlap(words, _array(asked))
-    wanted = [w for w in asked if not (kind == "websearch" and w.startswith("-"))]
-    out = F.size(F.array_except(_array(wanted), words)) == 0 if wanted else F.lit(True)
-    unwanted = [w[1:] for w in asked if kind == "websearch" and w.startswith("-")]
-    return out & ~F.arrays_overlap(words, _array(unwanted)) if unwanted else out
+        return reduce(or_, map(has, tokens(query)), F.lit(False))
+    if kind == "websearch":
+        ways: list[list[Column]] = [[]]
+        for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
+            if word.lower() == "or" and not minus:
+                ways.append([])
+            elif tokens(phrase or word):
+                ways[-1].append(~has(phrase or word) if minus else has(phrase or word))
+        return reduce(or_, [every(w) for w in ways if w] or [F.lit(True)])
+    if kind == "raw":
+        one = lambda w: ~has(w) if w.strip().startswith("!") else has(w)
+        return reduce(or_, [every(map(one, way.split("&"))) for way in query.split("|")])
+    return every(map(has, tokens(query)))
+
+
+def contains(c: Column, v: object) -> Column:
+    """Whether the column holds the value: all items of a list, all pairs of a dictionary (column: JSON text), a part of a text."""
+    if isinstance(v, dict):
+        return reduce(and_, [F.get_json_object(c, f"$.{k}").eqNullSafe(F.lit(json.dumps(x) if isinstance(x, (bool, dict, list)) else str(x))) for k, x in v.items()], c.isNotNull())
+    return F.contains(c, F.lit(v)) if isinstance(v, str) else F.size(F.array_except(_array(v), c)) == 0
 
 
 OPERATORS: dict[str, Callable[[Column, object], Column]] = {
@@ -48,7 +81,7 @@ OPERATORS: dict[str, Callable[[Column, object], Column]] = {
     "ilike_any": lambda c, v: reduce(or_, [c.ilike(p) for p in v]),
     "is": lambda c, v: c.isNull() if v is None else c.eqNullSafe(F.lit(v)),
     "in": lambda c, v: c.isin(list(dict.fromkeys(v))),
-    "contains": lambda c, v: F.size(F.array_except(_array(v), c)) == 0,
+    "contains": contains,
     "contained_by": lambda c, v: F.size(F.array_except(c, _array(v))) == 0,
     "overlaps": lambda c, v: F.arrays_overlap(c, _array(v)),
     # ranges are structs (lo, hi), half open
@@ -60,6 +93,7 @@ OPERATORS: dict[str, Callable[[Column, object], Column]] = {
     "fts": lambda c, v: text_match(c, v),
     "phfts": lambda c, v: text_match(c, v, "phrase"),
     "wfts": lambda c, v: text_match(c, v, "websearch"),
+    "rfts": lambda c, v: text_match(c, v, "raw"),
 }
 
 
@@ -69,6 +103,15 @@ def condition(column: str, operator: str, value: object, negate: bool = False) -
     return ~out if negate else out
 
 
+def combined(said: tuple) -> Column:
+    """A condition (column, operator, value), or ("and" | "or", condition, ...) or ("not", condition), nested as deep as wanted."""
+    if said[0] == "not":
+        return ~combined(said[1])
+    if said[0] in ("and", "or"):
+        return reduce(and_ if said[0] == "and" else or_, map(combined, said[1:]))
+    return condition(*said)
+
+
 class Query:
     """Immutable: every call returns a new query. Ordering keys add up and are applied with limits at the end."""
 
@@ -84,9 +127,9 @@ class Query:
     def where_not(self, column: str, operator: str, value: object) -> Query:
         return self._with(df=self.df.filter(condition(column, operator, value, negate=True)))
 
-    def where_any(self, *conditions: tuple[str, str, object]) -> Query:
-        """A disjunction of (column, operator, value)."""
-        return self._with(df=self.df.filter(reduce(or_, [condition(*c) for c in conditions])))
+    def where_any(self, *conditions: tuple) -> Query:
+        """A disjunction of conditions, each as combined() takes it."""
+        return self._with(df=self.df.filter(combined(("or", *conditions))))
 
     def match(self, **values: object) -> Query:
         return self._with(df=self.df.filter(reduce(and_, [F.col(c) == v for c, v in values.items()])))
@@ -123,5 +166,22 @@ class Query:
     def count(self) -> int:
         return self.df.count()
 
-    def explain(self, mode: str = "formatted") -> None:
-        self.frame().explain(mode)
+    def explain(self, mode: str = "formatted") -> str:
+        """The plan as text."""
+        with redirect_stdout(StringIO()) as said:
+            self.frame().explain(mode)
+        return said.getvalue()
+
+
+class Functions:
+    """Functions that are called by name: each makes a table of named arguments."""
+
+    def __init__(self) -> None:
+        self._known: dict[str, Callable[..., DataFrame]] = {}
+
+    def register(self, name: str, function: Callable[..., DataFrame]) -> None:
+        self._known[name] = function
+
+    def call(self, name: str, **arguments: object) -> Query:
+        """The result of a function, to be filtered and ordered further; KeyError for an unknown name."""
+        return Query(self._known[name](**arguments))

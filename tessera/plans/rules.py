@@ -16,11 +16,9 @@ col, lit = F.col, F.lit
 @query("with r as (select p_partkey as id, case when p_partkey % 3 = 0 then null else 'R' || (p_partkey % 50) end as ref, p_brand as address, p_type as city from part), g as (select 'R' || p_size as ref, p_brand as address, p_type as city, p_retailprice as s from part where p_partkey % 2 = 0), a as (select ref, min(s) as s from g group by 1), b as (select address, city, min(s) as s from g group by 1, 2) select id, coalesce(a.s, b.s) as surface_m2 from r left join a using (ref) left join b on r.address = b.address and r.city = b.city")
 def registry_enrichment(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    rows = part.select(col("p_partkey").alias("id"), F.when(col("p_partkey") % 3 != 0, F.concat(lit("R"), (col("p_partkey") % 50).cast("string"))).alias("ref"), col("p_brand").alias("address"), col("p_type").alias("city"))
-    registry = part.filter("p_partkey % 2 = 0").select(F.concat(lit("R"), col("p_size").cast("string")).alias("ref"), col("p_brand").alias("address"), col("p_type").alias("city"), col("p_retailprice").alias("s"))
-    by_ref = rows.join(registry.groupBy("ref").agg(F.min("s").alias("a")), "ref", "left")
-    by_place = by_ref.join(registry.groupBy("address", "city").agg(F.min("s").alias("b")), ["address", "city"], "left")
-    return by_place.select("id", F.coalesce("a", "b").alias("surface_m2"))
+    asked = part.select(col("p_partkey").alias("id"), F.when(col("p_partkey") % 3 != 0, F.concat(lit("R"), (col("p_partkey") % 50).cast("string"))).alias("ref"), col("p_brand").alias("address"), col("p_type").alias("city"))
+    registry = part.filter("p_partkey % 2 = 0").select(F.concat(lit("R"), col("p_size").cast("string")).alias("ref"), col("p_brand").alias("address"), col("p_type").alias("city"), col("p_retailprice").alias("surface_m2"), lit(1990).alias("year_built"))
+    return relational.enriched(asked, registry).select("id", "surface_m2")
 
 
 @query("with a as (select o_custkey, list_sort(list(distinct o_orderstatus)) as s from orders group by 1) select o_custkey, array_to_string(case when list_contains(s, 'P') then list_filter(s, lambda x: x <> 'P') else list_append(s, 'P') end, ', ') as toggled from a")
@@ -29,7 +27,7 @@ def array_toggle(spark, sf_dir):
     return a.select("o_custkey", text.join_csv(text.toggle(col("s"), lit("P"))).alias("toggled"))
 
 
-@query(r"""with h as (select page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]+)"', 1)) as href from pages) select page_id, case when starts_with(href, '/') then 'https://www.pisos.com' || href else href end as url from h where length(href) >= 10""")
+@query(r"""with h as (select page_id, unnest(list_transform(regexp_extract_all(html, '(?i)<a\s(?:[^>]*\s)?href\s*=\s*("[^"]+"|''[^'']+''|[^\s>"'']+)', 1), lambda x: regexp_replace(x, '^["'']|["'']$', '', 'g'))) as href from pages) select page_id, case when starts_with(href, '/') then 'https://www.pisos.com' || href else href end as url from h where length(href) >= 10""")
 def absolute_links(spark, sf_dir):
     found = table(spark, sf_dir, "pages").select("page_id", F.explode(text.links(col("html"))).alias("href"))
     return found.select("page_id", text.absolute_url(lit("https://www.pisos.com/x"), col("href")).alias("url"))
@@ -64,9 +62,9 @@ def extracted_posts(spark, sf_dir):
     return made.select("doc_id", F.length(text.strip_ws(F.substring_index(text.strip_ws(col("text")), "\n", 1))).cast("bigint").alias("title_chars"), F.lower("text").contains("hab").alias("hab"))
 
 
-@query("select doc_id, translate(substring(text, 1, 200), 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN') as plain from documents")
+@query("select doc_id, translate(text, 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN') as plain from documents")
 def city_normalised(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.normalise_city(text.truncate(col("text"), 200)).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalise_city(col("text")).alias("plain"))
 
 
 @query("select o_orderkey, len(list_filter(['Urgente', 'Oportunidad', 'Bajada de precio', 'Herencia'], lambda w: contains(lower(replace(o_orderpriority, 'URGENT', 'URGENTE')), lower(w))))::bigint as signals from orders")
@@ -88,20 +86,18 @@ def missing_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.when(has("k"), F.get_json_object("props", "$.k").cast("bigint")).otherwise(0).alias("k"), text.is_agency(has("absent"), F.get_json_object("props", "$.absent").cast("boolean")).alias("is_agency"))
 
 
-@query("select p_partkey, 'SUB-' || p_partkey as external_id, 120000 as price, 85 as size_m2, 95 as score from part where p_size = 1")
+@query("select p_partkey, 'SUB-' || p_partkey as external_id, 120000 as price, 85 as size_m2, 95 as score from part")
 def auction_rows(spark, sf_dir):
     raw = F.concat(lit('<a id="SUB-'), col("p_partkey").cast("string"), lit('">'))
-    found = table(spark, sf_dir, "part").filter("p_size = 1").select("p_partkey", F.explode(text.find_all(raw, 'SUB-[^"]+')).alias("external_id"))
+    found = table(spark, sf_dir, "part").select("p_partkey", F.explode(text.find_all(raw, 'SUB-[^"]+')).alias("external_id"))
     return found.select("p_partkey", "external_id", lit(120000).alias("price"), lit(85).alias("size_m2"), lit(95).alias("score"))
 
 
 @query("select p_partkey from part where p_retailprice <= 1500 and p_size >= 10 and p_partkey >= 2")
 def user_filters(spark, sf_dir):
-    limits = {"p_retailprice": ("<=", 1500), "p_size": (">=", 10), "p_partkey": (">=", 2)}
-    rows = table(spark, sf_dir, "part")
-    for name, (sign, value) in limits.items():
-        rows = rows.filter(F.expr(f"{name} {sign} {value}"))
-    return rows.select("p_partkey")
+    limits = {"max_price": 1500, "min_size": 10, "min_rooms": None, "min_bathrooms": 2}
+    rows = table(spark, sf_dir, "part").select(col("p_retailprice").alias("price"), col("p_size").alias("size_m2"), lit(1).alias("rooms"), col("p_partkey").alias("bathrooms"))
+    return relational.within_limits(rows, limits).select(col("bathrooms").alias("p_partkey"))
 
 
 @query("select o_orderkey, list_contains(['1-URGENT', '2-HIGH'], o_orderpriority) as enabled from orders")
@@ -115,10 +111,12 @@ def positive_prices(spark, sf_dir):
     return rows.select("o_orderkey", "o_totalprice", F.when(col("o_orderstatus") == "F", 1).otherwise(0).alias("o"))
 
 
-@query("select count(*) as n, count(*) filter (where f >= 0) as fixable from (select try_cast(replace(o_totalprice::varchar, '€', '') as double) as f from orders)")
+@query("select count(*) as n, count(*) filter (where o_orderkey % 3 > 0) as fixable from orders")
 def fixable_prices(spark, sf_dir):
-    raw = col("o_totalprice").cast("string")
-    return table(spark, sf_dir, "orders").agg(F.count(lit(1)).alias("n"), F.count(F.replace(raw, lit("€"), lit("")).try_cast("double")).alias("fixable"))
+    """Prices that are text and can be read: "1234,5 €"; not "a consultar"."""
+    k, price = col("o_orderkey") % 3, F.round("o_totalprice").cast("bigint").cast("string")
+    raw = F.when(k == 0, "a consultar").when(k == 1, F.concat(price, lit(",5\u00a0€"))).otherwise(price)
+    return table(spark, sf_dir, "orders").agg(F.count(lit(1)).alias("n"), F.count(prices.parse_price_eu(raw)).alias("fixable"))
 
 
 @query(f"with {LISTINGS} select city, count(*) as n, sum(case when is_individual then 1 else 0 end)::bigint as individuals, min(created_at) as first_seen, max(created_at) as last_seen from l group by city")
@@ -133,9 +131,9 @@ def settings_single(spark, sf_dir):
     return one.join(table(spark, sf_dir, "nation"), col("r_regionkey") == col("n_regionkey")).select("r_name", "n_name")
 
 
-@query("select event_id, 'data: ' || props as line from events where event_id % 2 = 0")
+@query("select event_id, 'data: ' || props as line from events")
 def event_lines(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("event_id % 2 = 0").select("event_id", F.concat(lit("data: "), "props").alias("line"))
+    return table(spark, sf_dir, "events").select("event_id", F.concat(lit("data: "), "props").alias("line"))
 
 
 @query("select json_extract(props, '$.k')::bigint as k, count(*) as n from events group by 1")
@@ -163,9 +161,9 @@ def geojson_features(spark, sf_dir):
     return made.select(F.get_json_object("feature", "$.properties.p_partkey").cast("bigint").alias("p_partkey"), F.get_json_object("feature", "$.geometry.type").alias("kind"))
 
 
-@query()
+@query("select * from nation")
 def shuffled_groups(spark, sf_dir):
-    """A random order with a seed: SQL can't repeat it."""
+    """A random order with a seed: SQL has the same rows, in no order."""
     return relational.shuffled(table(spark, sf_dir, "nation"), 7)
 
 
@@ -181,10 +179,10 @@ def raw_sql(spark, sf_dir):
     return spark.sql("select o_custkey, cast(sum(cast(o_totalprice as decimal(18, 2))) as decimal(38, 2)) as total from {orders} where o_totalprice > :least group by 1", args={"least": 1000}, orders=table(spark, sf_dir, "orders"))
 
 
-@query("select conv_id, string_agg(role || ': ' || substring(text, 1, 40), chr(10) order by turn) as prompt from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations where role <> 'system') where r <= 4 group by 1")
+@query("select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as prompt from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations where role <> 'system') where r <= 4 group by 1")
 def prompt_messages(spark, sf_dir):
     tail = relational.tail(table(spark, sf_dir, "conversations").filter("role <> 'system'"), "conv_id", "turn")
-    line = F.concat("role", lit(": "), text.truncate(col("text"), 40))
+    line = F.concat("role", lit(": "), col("text"))
     return tail.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("prompt"))
 
 

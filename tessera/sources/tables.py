@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +39,15 @@ def parse_listings(raw: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     return to_listing(parsed.filter(~bad).select("_parsed.*")), raw.filter(F.get_json_object(F.col(column), "$").isNull() & F.col(column).isNotNull())
 
 
+def text_or(spark: SparkSession, path: str, sentinel: str) -> str:
+    """A small text file's content (a prompt's background), or the sentinel if there is none."""
+    try:
+        row = spark.read.text(path, wholetext=True).first()
+    except AnalysisException:
+        return sentinel
+    return row.value if row else sentinel
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as listings: id, price, created_at, source, is_individual, seller, city.
 

@@ -7,12 +7,13 @@ drains what is there now with an availableNow trigger into a table.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from time import sleep
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.merge import upsert
 from tessera.operators.relational import stale
 
 
@@ -31,7 +32,10 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tessera-checkpoints'}/streams/{uuid.uuid4().hex}"
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{where or '/tmp/tessera-checkpoints'}/streams/{uuid.uuid4().hex}"
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -79,19 +83,76 @@ def windowed(stream: DataFrame, time: str, span: str, late: str, by: list[str])
     return timed.groupBy(F.window(time, span), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *by, "n")
 
 
-def merge_into(table_path: str, on: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into a versioned table; a batch that is run again writes the same version."""
+def _complete(spark: SparkSession, table_path: str) -> list[int]:
+    """Versions of a table that were written to their end."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v=*/_SUCCESS")) or []
+    return sorted(int(s.getPath().getParent().getName()[2:]) for s in found)
+
+
+def newest(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """The newest version of a merged table, or None."""
+    versions = _complete(spark, table_path)
+    return spark.read.parquet(f"{table_path}/v={versions[-1]}") if versions else None
+
+
+def merge_into(table_path: str, on: str, time: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges each batch into a table of versions: of each key the row with the latest time counts, in the batch and against
+    what is stored. So a batch that is run again, or another stream into the same table, goes on from the newest version and changes
+    nothing twice. Each batch writes the table anew, so batches should be large; the two newest versions are kept.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.groupBy(on).agg(*[F.max_by(c, F.struct(*batch.columns)).alias(c) for c in batch.columns if c != on])
-        before = f"{table_path}/v={number - 1}"
-        merged = upsert(spark.read.parquet(before), latest, on) if number else latest
-        merged.write.mode("overwrite").parquet(f"{table_path}/v={number}")
+        stored, versions = newest(spark, table_path), _complete(spark, table_path)
+        rows = batch if stored is None else batch.unionByName(stored, allowMissingColumns=True)
+        last = rows.groupBy(on).agg(F.max(F.struct(time, *(c for c in rows.columns if c not in (on, time)))).alias("_last"))
+        following = max(versions, default=-1) + 1
+        last.select(on, "_last.*").select(rows.columns).write.mode("overwrite").parquet(f"{table_path}/v={following}")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
+        for old in versions[:-1]:
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v={old}"), True)
 
     return each
 
 
+def latest_of(stream: DataFrame, time: str, *columns: str) -> DataFrame:
+    """One row: the newest of a stream by time (the state that a page polls)."""
+    return stream.agg(F.max(F.struct(time, *columns)).alias("_last")).select("_last.*")
+
+
+def rounds(fetch: Callable[[int, int], DataFrame], quota: int, most: int = 5, wait: float = 0) -> DataFrame | None:
+    """What the rounds 1 to most of fetch(round, rows still wanted) bring, until there are quota rows. Each round is written before
+    the next begins, wait seconds later."""
+    got, left = None, quota
+    for number in range(1, most + 1):
+        if number > 1 and wait:
+            sleep(wait)
+        rows = fetch(number, left).limit(left)
+        path = f"{scratch(rows.sparkSession)}/round"
+        rows.write.parquet(path)
+        rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+        got, left = rows if got is None else got.unionByName(rows), left - rows.count()
+        if left <= 0:
+            break
+    return got
+
+
+def backfill(rows: DataFrame, source: str, target: str, embed: Callable[[list[str]], list[list[float]]], size: int = 10) -> DataFrame:
+    """rows with every missing target (a vector) made of its source text, by calls of embed with size texts at most, until none is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, made = batch.column(source).to_pylist(), []
+            for a in range(0, len(texts), size):
+                made += embed([t or "" for t in texts[a : a + size]])
+            at = batch.schema.get_field_index(target)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(made, batch.schema.field(at).type))
+
+    return rows.filter(F.col(target).isNotNull()).unionByName(rows.filter(F.col(target).isNull()).mapInArrow(run, rows.schema))
+
+
 def requeue(rows: DataFrame, now: Column, days: int = 10) -> DataFrame:
     """Queue rows of stale listings (id, url, source, updated_at)."""
     return stale(rows, now, days).select("id", F.lit("pending").alias("status"), now.alias("requested_at"), F.concat(F.lit("Monitoring: "), "source").alias("source_name"), "url")

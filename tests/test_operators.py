@@ -116,3 +116,52 @@ def test_event_lines_and_requeue(spark):
     t = spark.createDataFrame([(1, "u", "s", "2024-01-01"), (2, "v", "s", "2024-01-19")], "id int, url string, source string, d string").withColumn("updated_at", F.col("d").cast("timestamp"))
     got = pipelines.requeue(t, F.lit("2024-01-20").cast("timestamp")).collect()
     assert [(r.id, r.status, r.source_name) for r in got] == [(1, "pending", "Monitoring: s")]
+
+
+def test_merge_goes_on_from_what_is_stored(spark):
+    where = pipelines.scratch(spark)
+    batch = lambda *r: spark.createDataFrame(r, "id int, ts int, x string")
+    assert pipelines.newest(spark, where) is None
+    pipelines.merge_into(where, "id", "ts")(batch((1, 1, "a"), (2, 5, "b"), (1, 2, "z")), 0)
+    pipelines.merge_into(where, "id", "ts")(batch((3, 1, "c"), (2, 4, "old"), (1, 3, None)), 0)  # another stream, which begins at 0 again
+    want = [(1, 3, None), (2, 5, "b"), (3, 1, "c")]
+    assert rows(pipelines.newest(spark, where)) == want
+    for again in (batch((3, 1, "c")), batch((3, 1, "c")).filter("false")):
+        pipelines.merge_into(where, "id", "ts")(again, 1)
+        assert rows(pipelines.newest(spark, where)) == want
+
+
+def test_rounds_and_text_or(spark, tmp_path):
+    from tessera.sources.tables import text_or
+
+    asked = []
+
+    def fetch(number, left):
+        asked.append((number, left))
+        return spark.range(3).select((F.col("id") + 10 * number).alias("id"))
+
+    assert len(rows(pipelines.rounds(fetch, 7))) == 7 and asked == [(1, 7), (2, 4), (3, 1)]
+    assert pipelines.rounds(lambda number, left: spark.range(0), 7, most=2).count() == 0
+    assert relational.quota_of(None, 0, 25) == 25 and relational.quota_of(0, None) == 10
+    (tmp_path / "known.md").write_text("a\nb")
+    assert text_or(spark, str(tmp_path / "known.md"), "nothing") == "a\nb" and text_or(spark, str(tmp_path / "none.md"), "nothing") == "nothing"
+
+
+def test_searches(spark):
+    t = spark.createDataFrame([("Piso, en venta: Málaga",), ("venta de piso",), (None,)], "t string")
+    got = lambda q, kind: [r.ok for r in t.select(condition("t", kind, q).alias("ok")).collect()]
+    assert got("piso, venta!", "fts") == [True, True, None] and got("en venta", "phfts") == [True, False, None]
+    assert got('"venta de" or málaga', "wfts") == [True, True, None] and got("piso -de", "wfts") == [True, False, None]
+    assert got("piso & !en | nada", "rfts") == [False, True, None] and got("...", "fts") == [True, True, True]
+    j = spark.createDataFrame([('{"a":1,"b":true,"c":"x"}',), ("{}",), (None,)], "j string")
+    assert [r.ok for r in j.select(condition("j", "contains", {"a": 1, "b": True, "c": "x"}).alias("ok")).collect()] == [True, False, False]
+    assert "Filter" in Query(t).where("t", "eq", "x").explain()
+
+
+def test_links_of_any_quoting(spark):
+    from tessera.functions import cards, text
+
+    html = """<a href="http://one.es/1">x</a><A class=b HREF='http://two.es/2'>y</A><a href=http://three.es/3>z</a><a href="/short">s</a><area href="http://no.es/12"><a data-href="http://no.es/34">n</a>"""
+    page = spark.createDataFrame([(html, '<article class="item"><h2> A <b>b</b></h2></article><article class="items">x</article>')], "h string, c string")
+    r = page.select(text.links(F.col("h")).alias("l"), F.size(cards.cards(F.col("c"))).alias("n"), F.size(cards.cards(F.col("c"), "item")).alias("m"), cards.by_tag(F.col("c"), "h2").alias("t"), cards.by_class(F.col("c"), "none").alias("none")).first()
+    assert r.l == ["http://one.es/1", "http://two.es/2", "http://three.es/3"] and (r.n, r.m, r.t, r.none) == (2, 1, "A b", None)
