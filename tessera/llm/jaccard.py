@@ -412,8 +412,9 @@ def join(docs: DataFrame) -> DataFrame:
 
 def labelled(members: DataFrame, classes: DataFrame, made: Join) -> DataFrame:
     stars = made.links(classes)
-    roots = classes.join(stars, classes["place"] == stars["node"], "left").select("mark", "first", F.coalesce("root", "place").alias("own"))
-    first = roots.groupBy("own").agg(F.min("first").alias("first"))
+    roots = written(classes.join(stars, classes["place"] == stars["node"], "left").select("mark", "first", F.coalesce("root", "place").alias("own")), "roots")
+    # written, so that Spark can split a large component's rows in the join
+    first = written(roots.groupBy("own").agg(F.min("first").alias("first")), "firsts")
     named = written(roots.select("mark", "own").join(first, "own").select("mark", F.col("first.doc_id").alias("component_id"), F.col("first.place").alias("root")), "components")
     out = members.join(named, "mark", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "place", F.coalesce("root", "place").alias("root"))
