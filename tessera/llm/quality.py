@@ -38,7 +38,7 @@ SAMPLE = 2000
 THRESHOLD = 0.7
 
 _PAIRS = 64
-_KINDS = np.full(256, 15, np.int64)
+_KINDS = np.full(256, 15, np.int32)
 for _kind, _bytes in enumerate((range(0x41, 0x5B), range(0x61, 0x7B), range(0x30, 0x3A), b" ", b"\n\r", b".", b",", b"!?", b"%", b"#", b"$", b"&", b"*", b"|", range(0x80, 0x100))):
     _KINDS[list(_bytes)] = _kind
 WIDTH = 16 + _PAIRS + 6
@@ -60,10 +60,10 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     # a passage's bytes go from its first word to the next passage's
     head = np.flatnonzero(np.concatenate([[True], of_word[1:] != of_word[:-1]]))
     begin = found.start[head]
-    of_byte = np.repeat(of_word[head], np.diff(np.concatenate([begin, [len(raw)]])))
+    of_byte = np.repeat(of_word[head].astype(np.int32), np.diff(np.concatenate([begin, [len(raw)]])))
     raw = raw[begin[0] :]
     kinds = np.bincount(of_byte * 16 + _KINDS[raw], minlength=total * 16).reshape(total, 16)
-    wide = raw.astype(np.int64)
+    wide = raw.astype(np.int32)
     pair = ((wide[:-1] * 0x9E37 + wide[1:] * 0x79B9) >> 5) % _PAIRS
     pairs = np.bincount(of_byte[:-1] * _PAIRS + pair, minlength=total * _PAIRS).reshape(total, _PAIRS)
     size = np.maximum(1, kinds.sum(1, keepdims=True))

@@ -18,7 +18,7 @@ _STEP, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Pieces of words hashed in one go.
 PIECES = 1 << 17
 #: Bytes of text gathered before they are worked on; one longer text is worked on alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
