@@ -13,8 +13,18 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows of an Arrow batch at most, where the session has Spark's usual 10,000: whole texts travel in them, and JVM and Python hold a batch or two each.
+BATCH, _BATCH_KEY = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,10 +51,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    small_batches(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
@@ -53,6 +64,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Bytes of a row group of written tables: a task holds one in memory.
+ROW_GROUP = 16 << 20
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or that with underscores before it, so that df has no such column."""
     taken = {c.lower() for c in df.columns}
