@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import block_of, in_order, partitions, range_bounds, table, total_bytes
+from tessera.llm.frames import in_order, partitions, run_of, table, total_bytes
 from tessera.llm.words import NOT_SPACE, Words, words
 
 WINDOW = 20
@@ -64,8 +64,7 @@ def repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     octets = total_bytes(docs)
     blocks = max(partitions(docs.sparkSession), octets // BLOCK_BYTES)
     parts = int(max(partitions(docs.sparkSession), octets // 6 // PART_WINDOWS))
-    bounds = range_bounds(docs, "doc_id", blocks)
-    dealt = docs.select("doc_id", "text", block_of("doc_id", bounds).alias("block"))
+    dealt = docs.select("doc_id", "text", run_of(docs, "doc_id", blocks).alias("block"))
 
     def send(block: pa.Table) -> pa.Table:
         _, texts = _sorted_rows(block)

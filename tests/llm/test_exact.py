@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import tiktoken
 
-from tessera.llm import bpe, chat, components, decontaminate, jaccard, secrets, sharding, substrings
+from tessera.llm import bpe, chat, components, decontaminate, frames, jaccard, secrets, sharding, substrings
 from tessera.llm.frames import block_of, shared_dir
 from tests.llm.helpers import AWKWARD, EXTRA, LETTERS, LOWER, SF, SPACED, awkward, documents, empty, key
 
@@ -390,5 +390,21 @@ def test_blocks(spark):
         assert all(r.b == bisect.bisect_right(bounds, r.id) for r in spark.range(-2, 140).select("id", block_of("id", bounds).alias("b")).collect())
 
 
+def test_runs_beyond_the_bounds(spark, monkeypatch):
+    """More blocks than bounds: keys of a run are cut into spans, in order, and the rows of a key stay together."""
+    monkeypatch.setattr(frames, "BOUNDS", 3)
+    ids = [None, None, -(2**63), 2**63 - 1, *range(100), *range(100), *[7] * 50, 10**15]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = sorted((r.id if r.id is not None else -(2**64), r.b) for r in rows.select("id", frames.run_of(rows, "id", 20).alias("b")).collect())
+    assert all(a[1] <= b[1] for a, b in zip(got, got[1:], strict=False)) and all(a[1] == b[1] for a, b in zip(got, got[1:], strict=False) if a[0] == b[0])
+    assert len({b for _, b in got}) > 6 and max(b for _, b in got) < 21
+    for few in ([], [(None,)], [(5,)] * 9):
+        same = spark.createDataFrame(few, "id long")
+        assert {r.b for r in same.select(frames.run_of(same, "id", 20).alias("b")).collect()} == ({0} if few else set())
+    for rows, docs in both(spark):
+        got = [(r.doc_id, r.n_words, sum(x.end - x.start for x in r.removed), r.kept) for r in substrings.repeats(docs).collect()]
+        assert key(got) == key(kept(rows, substrings.WINDOW))
+
+
 def test_extra_columns_are_those_that_clash():
     assert "block" in EXTRA and "_shard" in EXTRA
