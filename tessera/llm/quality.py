@@ -5,16 +5,17 @@ of kinds of bytes, hashed byte pairs, repeats, lengths; then a learned layer), g
 attention weighs the passages, and the weighted representation is scored.  Encoder,
 attention and score are learned together from document labels, by gradient descent
 on the driver over a bounded sample: at most SAMPLE labelled documents of each
-label, taken by the hash of doc_id.  Scoring runs over all documents, each task by
+label, taken by the hash of doc_id, and of each at most BAG passages, spread evenly over its
+whole text, so that what the driver gets is bounded in bytes too.  Scoring runs over all documents, each task by
 itself, without a shuffle.
 
 labels, lang, source and doc_id are never inputs of a score.  Rows whose crc32(doc_id
 as text) mod 4 is 2 are held out and not learned from.
 
 Defined cases: a null or empty text is one passage without content and gets a score; a
-long text has all its passages weighed; documents labelled twice with different
+long text has all its passages weighed in its score; documents labelled twice with different
 qualities are not learned from; with labels of one kind only, or none, every score is
-that share of label 1 (none: 0.5); repeated rows get equal scores; an empty table gives
+that share of label 1 (none: 0.5); repeated rows get equal scores, and of rows with one doc_id one is learned from; an empty table gives
 an empty result.
 """
 
@@ -34,6 +35,8 @@ from tessera.llm.words import NOT_SPACE, chunks, words
 PASSAGE = 64
 #: Labelled documents of each label to learn from, at most.
 SAMPLE = 2000
+#: Passages of a document to learn from, at most (scores weigh all of them): 44 KB a document, 180 MB of the whole sample.
+BAG = 256
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 
@@ -145,8 +148,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from docs (doc_id, text) and labels (doc_id, quality)."""
+def spread(bag: np.ndarray, most: int) -> np.ndarray:
+    """The bag, or as many of its rows as are allowed, the first, the last and evenly between."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).round().astype(int)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = BAG) -> Model:
+    """The model from docs (doc_id, text) and labels (doc_id, quality): sample documents of each label and most passages of each."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most").drop("most")
     counts = {r.quality: r.n for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -158,11 +166,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
             x, first = features(texts)
-            packed = [p.astype(np.float16).tobytes() for p in np.split(x, first[1:])]
+            packed = [spread(p, most).astype(np.float16).tobytes() for p in np.split(x, first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "quality", "bag"])
 
-    rows = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, bag binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
+    made = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, bag binary")
+    # one row of a doc_id, however many there are
+    rows = made.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("bag").alias("bag")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     quality = np.array([r.quality for r in rows], np.float32)
     if len(set(quality.tolist())) < 2:
         return Model(counts[1] / (counts[0] + counts[1]))

@@ -37,6 +37,19 @@ def test_quality_edges(spark):
     assert np.allclose(model.score([b"", b"a b"]), [model.score([b""])[0], model.score([b"a b"])[0]], atol=1e-5)
 
 
+def test_what_is_learned_from_is_bounded(spark, monkeypatch):
+    """Passages of a document and rows of a doc_id: neither a long text nor a repeated id sends the driver more."""
+    bag = np.arange(1000)[:, None]
+    assert quality.spread(bag, 1000) is bag and [len(quality.spread(bag, n)) for n in (1, 2, 256)] == [1, 2, 256]
+    assert [int(x) for x in quality.spread(bag, 3)[:, 0]] == [0, 500, 999]
+    rows = [(i, "word " * (quality.PASSAGE * n)) for i, n in ((0, 1), (1, 40), (3, 2), (4, 5))] + [(1, "other")] * 50
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda bags, *_: seen.extend(map(len, bags)))
+    labels = spark.createDataFrame([(i, i % 2) for i in (0, 1, 3, 4)], "doc_id long, quality int")
+    quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, most=4)
+    assert sorted(seen) in ([1, 1, 2, 4], [1, 2, 4, 4])  # of doc_id 1 either text
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     bags = [rng.standard_normal((n, quality.WIDTH)).astype(np.float32) + n % 2 for n in (1, 3, 2, 5, 1, 4, 2, 3)]
