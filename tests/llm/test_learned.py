@@ -11,7 +11,7 @@ from random import Random
 import numpy as np
 
 from tessera.llm import fingerprints, html, quality
-from tests.llm.helpers import AWKWARD, awkward, documents, empty
+from tests.llm.helpers import AWKWARD, awkward, empty
 
 BIG = "/root/testdata/sf0.01"
 
@@ -244,15 +244,3 @@ def test_fingerprint_of_a_text_that_holds_a_third_of_all_rows(spark):
     first = marked.filter("doc_id = 0").select(F.col("marks").alias("of"))
     like = {r.doc_id: r.like for r in marked.crossJoin(first).select("doc_id", fingerprints.likeness(F.col("marks"), F.col("of")).alias("like")).collect()}
     assert like[0] == 1 and like[1] > 0.4 and like[2] < 0.2
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = documents(spark)
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert 0 < out.count() <= docs.count()
-    d = awkward(spark, extra=True).select("doc_id", "text", "lang", "source", "n_chars", "block")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        made = stage(spark, d, "/root/testdata/sf0.001")
-        assert made.columns == d.columns and made.count() <= d.count()
