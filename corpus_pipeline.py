@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs.  All but the last return the columns
 of documents.
+
+Defined cases, of every stage: an empty table gives an empty result with the stage's columns; further columns, whatever
+their names, are kept by all stages but the last; rows are judged one by one where they repeat or their doc_id is null,
+except that repeated texts with words are near duplicates.  Of each stage: see its own docstring.
 """
 
 from __future__ import annotations
@@ -14,27 +18,46 @@ from tessera.llm.frames import table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects; it learns from the labels of the documents given."""
+    """Drops the documents that the quality classifier rejects; it learns from the labels of the documents given.
+
+    A null or empty text is one passage without content and is judged by its score like any other; a long text has all its
+    passages weighed; repeated rows have equal scores.  Without labels of both kinds nothing can be learned: every score
+    is the share of label 1 (no labels: 0.5).
+    """
     return quality.good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
+    """Keeps the document with the smallest doc_id of each group of near duplicates.
+
+    Texts that are null, empty or without words are in no group and all stay; of rows with one doc_id in a group, one
+    stays; a null doc_id comes after all others.
+    """
     return jaccard.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a window of a benchmark item occurs."""
+    """Drops the documents in which a window of a benchmark item occurs.
+
+    Texts that are null or without words are clean; items without words have no window; an empty benchmark drops nothing.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts."""
+    """Replaces secrets in the texts, and counts n_chars anew where docs has it.
+
+    A null text stays null, an empty one empty; spans that overlap share one mask; a null source or lang is one owner or
+    repository of its own.
+    """
     return secrets.redact(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (packed), n_tokens, ids_sha256, decoded_sha256 of each document."""
+    """doc_id, ids (packed), n_tokens, ids_sha256, decoded_sha256 of each document.
+
+    A null text counts as empty: it has no ids and the hash of no bytes; repeated rows give repeated results.
+    """
     return bpe.digests(bpe.encode(docs), keep=True)
 
 
