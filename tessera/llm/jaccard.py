@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.frames import fresh, in_order, partitions, table, total_bytes, written
-from tessera.llm.words import NOT_SPACE, mix, words
+from tessera.llm.words import NOT_SPACE, groups, mix, words
 
 SHINGLE = 5
 #: Sets are linked when PERCENT * union <= 100 * intersection.
@@ -74,13 +74,15 @@ class Sets:
         ids, texts = block.column("doc_id").to_pylist(), block.column("text").cast(pa.binary()).to_pylist()
         self.ids = [ids[i] for i in order]
         asked = None if only is None else set(only)
-        found = words([texts[i] if asked is None or n in asked else b"" for n, i in enumerate(order)], NOT_SPACE, True)
-        at, hashes = found.runs(SHINGLE)
-        edges = np.searchsorted(found.row[at], np.arange(len(order) + 1))
-        sizes = np.diff(found.first)
+        kept = [texts[i] if asked is None or n in asked else b"" for n, i in enumerate(order)]
+        del texts
         sets = []
-        for i, n in enumerate(sizes.tolist()):
-            sets.append(np.unique(hashes[edges[i] : edges[i + 1]]) if n >= SHINGLE else np.array([found.whole(i)] if n else [], np.uint64))
+        for first, last in groups(kept):
+            found = words(kept[first:last], NOT_SPACE, True)
+            at, hashes = found.runs(SHINGLE)
+            edges = np.searchsorted(found.row[at], np.arange(last - first + 1))
+            for i, n in enumerate(np.diff(found.first).tolist()):
+                sets.append(np.unique(hashes[edges[i] : edges[i + 1]]) if n >= SHINGLE else np.array([found.whole(i)] if n else [], np.uint64))
         self.size = np.fromiter(map(len, sets), np.int64, len(sets))
         self.edge = np.concatenate([[0], np.cumsum(self.size)])
         self.values = np.concatenate([np.zeros(0, np.uint64), *sets])

@@ -133,15 +133,19 @@ def words(texts: Sequence[bytes | None], inside: np.ndarray, lower: bool) -> Wor
     return Words(data, row, start, end, _hashes(read, start, end), np.searchsorted(row, np.arange(len(texts) + 1)))
 
 
+def groups(texts: Sequence[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Starts and ends of runs of about CHUNK bytes of texts."""
+    a = held = 0
+    for b, t in enumerate(texts, 1):
+        held += len(t or b"")
+        if held >= CHUNK or b == len(texts):
+            yield a, b
+            a, held = b, 0
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of Arrow batches of about CHUNK bytes of text, each with its texts as UTF-8 (null: empty)."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-        a = held = 0
-        for b, t in enumerate(values):
-            held += len(t or b"")
-            if held >= CHUNK:
-                yield batch.slice(a, b + 1 - a), [x or b"" for x in values[a : b + 1]]
-                a, held = b + 1, 0
-        if a < len(values):
-            yield batch.slice(a), [x or b"" for x in values[a:]]
+        for a, b in groups(values):
+            yield batch.slice(a, b - a), [x or b"" for x in values[a:b]]
