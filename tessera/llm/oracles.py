@@ -49,10 +49,26 @@ reach as (select x, y from both_ways union select reach.x, both_ways.y from reac
 select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, least_y) as component_id from d left join n using (doc_id) left join (select x as doc_id, min(y) as least_y from reach group by 1) using (doc_id)
 """
 
+COLLOCATIONS = rf"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+n as (select lang, sum(len(w))::bigint as n from w group by 1),
+spot as (select lang, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from w, range(1, 6) t(k) where len(w) >= k),
+f as (select lang, k, list_slice(w, i, i + k - 1) as g, array_to_string(list_slice(w, i, i + k - 1), ' ') as phrase, count(*) as f from spot group by 1, 2, 3, 4 having count(*) >= 100),
+c as (select * from f where k > 1),
+cut as (select c.lang, c.phrase, c.f as a, j, x.f as l, y.f as r, n, ((1000::hugeint * c.f * n) // (x.f::hugeint * y.f))::bigint as score
+    from c join range(1, 5) t(j) on j < k join n on n.lang = c.lang
+    join f x on x.lang = c.lang and x.phrase = array_to_string(list_slice(c.g, 1, j), ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(list_slice(c.g, j + 1, c.k), ' ')),
+best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+gone as (select distinct c.lang, c.phrase from c join c m on m.lang = c.lang and m.k > c.k and 100 * m.f >= 100 * c.f and contains(' ' || m.phrase || ' ', ' ' || c.phrase || ' '))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from best anti join gone using (lang, phrase) qualify rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op4_chat": CHAT,
     "op5_sharding": SHARDING,
     "op7_decontaminate": DECONTAMINATE,
     "op9_substrings": SUBSTRINGS,
     "op10_jaccard": JACCARD,
+    "op11_collocations": COLLOCATIONS,
 }
