@@ -2,16 +2,57 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import prices, scoring, text
 
 
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""")
+_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+def _elements(page: str, tag: str | None, css_class: str | None, first: bool) -> list[str]:
+    """The elements of a page, in order of their opening tags: each ends at its own closing tag, however many of its kind it holds, or at the page's end."""
+    found: list[list[int]] = []
+    still: dict[str, list[int | None]] = defaultdict(list)  # open elements by tag: the place in found of those asked for
+    for m in _TAG.finditer(page):
+        name, said = m[2].lower(), m[3]
+        if m[1]:
+            if still[name] and (place := still[name].pop()) is not None:
+                found[place][1] = m.end()
+                if first and place == 0:
+                    break
+            continue
+        wanted = (tag is None or name == tag) and (not css_class or ((c := _CLASS.search(said)) is not None and css_class in (c[1] or c[2] or c[3] or "").split()))
+        empty = name in _VOID or said.endswith("/")
+        if wanted:
+            found.append([m.start(), m.end() if empty else len(page)])
+        if not empty:
+            still[name].append(len(found) - 1 if wanted else None)
+        elif wanted and first and len(found) == 1:
+            break
+    return [page[a:b] for a, b in (found[:1] if first else found)]
+
+
+def elements(html: Column, tag: str | None = None, css_class: str | None = None, first: bool = False) -> Column:
+    """The outer HTML of a page's elements of a tag and a class (nested ones too), or of the first one only; null for a null page."""
+
+    @F.pandas_udf("array<string>")
+    def select(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: None if p is None else _elements(p, tag, css_class, first))
+
+    return select(html)
+
+
 def cards(html: Column, css_class: str | None = None) -> Column:
     """The <article> elements of a page; css_class: only those that have the class."""
-    found = F.regexp_extract_all(html, F.lit(r"(?s)<article\b.*?</article>"), F.lit(0))
-    return F.filter(found, lambda c: c.rlike(rf'^<article\b[^>]*\bclass="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"')) if css_class else found
+    return elements(html, "article", css_class)
 
 
 def inner_text(html: Column) -> Column:
@@ -21,19 +62,17 @@ def inner_text(html: Column) -> Column:
 
 def by_class(card: Column, css_class: str) -> Column:
     """The text of the first element of a class, null if there is none."""
-    pattern = rf'(?s)<([a-z0-9]+)\b[^>]*\bclass="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"[^>]*>(.*?)</\1>'
-    return F.when(card.rlike(pattern), inner_text(F.regexp_extract(card, pattern, 2)))
+    return inner_text(F.get(elements(card, None, css_class, True), F.lit(0)))
 
 
 def by_tag(card: Column, tag: str) -> Column:
-    pattern = rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"
-    return F.when(card.rlike(pattern), inner_text(F.regexp_extract(card, pattern, 1)))
+    return inner_text(F.get(elements(card, tag, None, True), F.lit(0)))
 
 
 def attribute(card: Column, tag: str, name: str) -> Column:
     """An attribute of the first element of a tag, null if it has none."""
-    pattern = rf'<{tag}\b[^>]*?\b{name}="([^"]*)"'
-    return F.when(card.rlike(pattern), F.regexp_extract(card, pattern, 1))
+    pattern = rf"""<{tag}\b[^>]*?\b{name}\s*=\s*("[^"]*"|'[^']*')"""
+    return F.when(card.rlike(pattern), F.regexp_replace(F.regexp_extract(card, pattern, 1), "^.|.$", ""))
 
 
 def _on(base: str, href: Column) -> Column:

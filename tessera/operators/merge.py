@@ -37,12 +37,16 @@ def update_keys(stored: DataFrame, keys: DataFrame, on: str, values: dict[str, C
     return update_where(marked, F.col("_hit"), values).select(stored.columns)
 
 
-def patch(stored: DataFrame, patches: DataFrame, on: str) -> DataFrame:
-    """Each stored row with the values that its patch has, row by row; a null in a patch leaves the value, and unknown keys are ignored.
-    patches has one row for each key at most."""
-    given = [c for c in patches.columns if c != on]
-    both = stored.join(patches.select(on, *(F.col(c).alias(f"_p_{c}") for c in given)), on, "left")
-    return both.select([F.coalesce(f"_p_{c}", c).alias(c) if c in given else F.col(c) for c in stored.columns])
+def patch(stored: DataFrame, patches: DataFrame, on: str, sets: str | None = None) -> DataFrame:
+    """Each stored row with the values of its patch, row by row: the columns that patches has overwrite, with null too; unknown keys are ignored.
+
+    sets: a column of patches with the names of the columns that the row's patch sets; the others stay. patches has one row for each key at most.
+    """
+    given = [c for c in patches.columns if c not in (on, sets)]
+    fields = F.struct(*given, *([F.col(sets).alias("_sets")] if sets else []), F.lit(True).alias("_hit"))
+    both = stored.join(patches.select(on, fields.alias("_p")), on, "left")
+    hit = lambda c: F.coalesce(F.array_contains("_p._sets", c), F.lit(False)) if sets else F.col("_p._hit").isNotNull()
+    return both.select([F.when(hit(c), F.col(f"_p.{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in stored.columns])
 
 
 def patch_latest(stored: DataFrame, order: Sequence[Column], on: str, values: dict[str, Column]) -> DataFrame:

@@ -8,17 +8,19 @@ from tessera.functions import extract, prices, text
 from tessera.operators import merge, relational
 from tessera.plans.catalog import LISTINGS, query
 from tessera.sources.tables import listings, table
-from tessera.streaming import pipelines
+from tessera.streaming import pipelines, state
 
 col, lit = F.col, F.lit
 
 
-@query("with r as (select p_partkey as id, case when p_partkey % 3 = 0 then null else 'R' || (p_partkey % 50) end as ref, p_brand as address, p_type as city from part), g as (select 'R' || p_size as ref, p_brand as address, p_type as city, p_retailprice as s from part where p_partkey % 2 = 0), a as (select ref, min(s) as s from g group by 1), b as (select address, city, min(s) as s from g group by 1, 2) select id, coalesce(a.s, b.s) as surface_m2 from r left join a using (ref) left join b on r.address = b.address and r.city = b.city")
+@query("with r as (select p_partkey as id, case when p_partkey % 3 <> 0 then 'R' || (p_partkey % 50) end as ref, p_brand as address, case when p_partkey % 6 = 0 then 'elsewhere' else p_type end as city, case when p_partkey % 6 = 0 then p_type end as province from part), g as (select 'R' || p_size as ref, p_brand as address, p_type as city, {'s': p_retailprice, 'y': 1950 + p_size} as s from part where p_partkey % 2 = 0), a as (select ref, min(s) as s from g group by 1), b as (select address, city, min(s) as s from g group by 1, 2) select id, coalesce(a.s, b.s).s as surface_m2, coalesce(a.s, b.s).y as year_built from r left join a using (ref) left join b on r.address = b.address and coalesce(r.province, r.city) = b.city")
 def registry_enrichment(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    asked = part.select(col("p_partkey").alias("id"), F.when(col("p_partkey") % 3 != 0, F.concat(lit("R"), (col("p_partkey") % 50).cast("string"))).alias("ref"), col("p_brand").alias("address"), col("p_type").alias("city"))
-    registry = part.filter("p_partkey % 2 = 0").select(F.concat(lit("R"), col("p_size").cast("string")).alias("ref"), col("p_brand").alias("address"), col("p_type").alias("city"), col("p_retailprice").alias("surface_m2"), lit(1990).alias("year_built"))
-    return relational.enriched(asked, registry).select("id", "surface_m2")
+    """By reference, else by address and province, else by address and city."""
+    part, k = table(spark, sf_dir, "part"), col("p_partkey")
+    sixth = k % 6 == 0
+    asked = part.select(k.alias("id"), F.when(k % 3 != 0, F.concat(lit("R"), (k % 50).cast("string"))).alias("ref"), col("p_brand").alias("address"), F.when(sixth, "elsewhere").otherwise(col("p_type")).alias("city"), F.when(sixth, col("p_type")).alias("province"))
+    registry = part.filter("p_partkey % 2 = 0").select(F.concat(lit("R"), col("p_size").cast("string")).alias("ref"), col("p_brand").alias("address"), col("p_type").alias("city"), col("p_retailprice").alias("surface_m2"), (lit(1950) + col("p_size")).alias("year_built"))
+    return relational.enriched(asked, registry).select("id", "surface_m2", "year_built")
 
 
 @query("with a as (select o_custkey, list_sort(list(distinct o_orderstatus)) as s from orders group by 1) select o_custkey, array_to_string(case when list_contains(s, 'P') then list_filter(s, lambda x: x <> 'P') else list_append(s, 'P') end, ', ') as toggled from a")
@@ -78,12 +80,14 @@ def es_numbers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", prices.format_es(F.round("o_totalprice").cast("bigint")).alias("plain"))
 
 
-@query("select event_id, coalesce(json_extract(props, '$.k')::bigint, 0) as k, case when not json_exists(props, '$.absent') then false else true end as is_agency from events")
+@query("select event_id, coalesce(json_extract(props, '$.k')::bigint, 0) as k, case event_type when 'click' then false when 'view' then true when 'signup' then true else false end as is_agency from events")
 def missing_fields(spark, sf_dir):
-    """Absent keys and null values differ: a key that isn't there gets its default."""
+    """Absent keys and null values differ: a key that isn't there gets its default. Clicks are of individuals, views are not, signups don't say (null)."""
+    said = F.when(col("event_type") == "click", ', "individual": true}').when(col("event_type") == "view", ', "individual": false}').when(col("event_type") == "signup", ', "individual": null}').otherwise("}")
+    rows = table(spark, sf_dir, "events").withColumn("props", F.concat(F.regexp_replace("props", r"\}\s*$", ""), said))
     held = F.json_object_keys("props")
     has = lambda k: F.array_contains(held, k)
-    return table(spark, sf_dir, "events").select("event_id", F.when(has("k"), F.get_json_object("props", "$.k").cast("bigint")).otherwise(0).alias("k"), text.is_agency(has("absent"), F.get_json_object("props", "$.absent").cast("boolean")).alias("is_agency"))
+    return rows.select("event_id", F.when(has("k"), F.get_json_object("props", "$.k").cast("bigint")).otherwise(0).alias("k"), text.is_agency(has("individual"), F.get_json_object("props", "$.individual").cast("boolean")).alias("is_agency"))
 
 
 @query("select p_partkey, 'SUB-' || p_partkey as external_id, 120000 as price, 85 as size_m2, 95 as score from part")
@@ -93,9 +97,9 @@ def auction_rows(spark, sf_dir):
     return found.select("p_partkey", "external_id", lit(120000).alias("price"), lit(85).alias("size_m2"), lit(95).alias("score"))
 
 
-@query("select p_partkey from part where p_retailprice <= 1500 and p_size >= 10 and p_partkey >= 2")
+@query("select p_partkey from part where p_retailprice <= 950 and p_size >= 10 and p_partkey >= 2")
 def user_filters(spark, sf_dir):
-    limits = {"max_price": 1500, "min_size": 10, "min_rooms": None, "min_bathrooms": 2}
+    limits = {"max_price": 950, "min_size": 10, "min_rooms": None, "min_bathrooms": 2}
     rows = table(spark, sf_dir, "part").select(col("p_retailprice").alias("price"), col("p_size").alias("size_m2"), lit(1).alias("rooms"), col("p_partkey").alias("bathrooms"))
     return relational.within_limits(rows, limits).select(col("bathrooms").alias("p_partkey"))
 
@@ -138,8 +142,8 @@ def event_lines(spark, sf_dir):
 
 @query("select json_extract(props, '$.k')::bigint as k, count(*) as n from events group by 1")
 def server_events(spark, sf_dir):
-    lines = table(spark, sf_dir, "events").select(F.concat(lit("data: "), "props").alias("value"))
-    return pipelines.server_events(lines, "k bigint").groupBy("k").agg(F.count(lit(1)).alias("n"))
+    lines = table(spark, sf_dir, "events").select(F.concat(lit("data: "), "props").alias("text"))
+    return state.payloads(lines, "k bigint").filter("not broken").groupBy("m.k").agg(F.count(lit(1)).alias("n"))
 
 
 @query("with n as (select max(ts) as now from events) select event_id from events, n where ts >= now - interval 7 days")

@@ -56,9 +56,9 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{where}/batch/n={last}")
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
-    """Runs a foreachBatch function over what is there now."""
-    where = scratch(stream.sparkSession)
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], where: str | None = None) -> None:
+    """Runs a foreachBatch function over what is there now; where: the folder of a stream that goes on later."""
+    where = where or scratch(stream.sparkSession)
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
 
 
@@ -158,12 +158,6 @@ def requeue(rows: DataFrame, now: Column, days: int = 10) -> DataFrame:
     return stale(rows, now, days).select("id", F.lit("pending").alias("status"), now.alias("requested_at"), F.concat(F.lit("Monitoring: "), "source").alias("source_name"), "url")
 
 
-def server_events(lines: DataFrame, schema: str) -> DataFrame:
-    """Payloads of "data:" lines of an event stream (value); end marks and other lines are dropped."""
-    data = lines.filter(F.col("value").startswith("data:")).select(F.trim(F.substring("value", 6, 1 << 30)).alias("d"))
-    return data.filter("d <> '[DONE]'").select(F.from_json("d", schema).alias("m")).filter("m is not null").select("m.*")
-
-
 def retained(messages: DataFrame, now: Column, days: int, time: str = "created_at") -> DataFrame:
     """Messages of the last days."""
     return messages.filter(F.col(time) >= now - F.expr(f"INTERVAL {days} DAYS"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.operators import merge, relational
 from tessera.plans.query import Query, condition
 from tessera.sources.tables import LISTING, parse_listings, to_listing
-from tessera.streaming import pipelines
+from tessera.streaming import pipelines, state
 
 
 def rows(df):
@@ -111,8 +111,8 @@ def test_expired_keys_leave_after_a_later_batch(spark, tmp_path):
 
 
 def test_event_lines_and_requeue(spark):
-    lines = spark.createDataFrame([('data: {"n": 1}',), (": keep",), ("data: [DONE]",), ("data: {bad",)], "value string")
-    assert [r.n for r in pipelines.server_events(lines, "n int").filter("n is not null").collect()] == [1]
+    lines = spark.createDataFrame([('data: {"n": 1}',), (": keep",), ("data: [DONE]",), ("data: {bad",), ('data: {"n":',), ('data: {"n": "x"}',), ("data: 7",), ("data: {}",), (None,)], "text string")
+    assert sorted(((r.broken, r.m and r.m.n) for r in state.payloads(lines, "n int").collect()), key=repr) == [(False, 1), (False, None), (True, None), (True, None), (True, None), (True, None)]
     t = spark.createDataFrame([(1, "u", "s", "2024-01-01"), (2, "v", "s", "2024-01-19")], "id int, url string, source string, d string").withColumn("updated_at", F.col("d").cast("timestamp"))
     got = pipelines.requeue(t, F.lit("2024-01-20").cast("timestamp")).collect()
     assert [(r.id, r.status, r.source_name) for r in got] == [(1, "pending", "Monitoring: s")]
