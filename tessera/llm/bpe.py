@@ -184,6 +184,16 @@ def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -
 
     path: a rank file; split: the pattern of pre-tokens, each encoded by itself.
     """
+    return _encoded(docs, path, split, None)
+
+
+def encode_and_decode(docs: DataFrame, path: str | None = None, split: str | None = None, keep: bool = False) -> DataFrame:
+    """digests() of encode(), made where a block's documents are put together: no second Python worker runs beside the first."""
+    return _encoded(docs, path, split, keep)
+
+
+def _encoded(docs: DataFrame, path: str | None, split: str | None, digested: bool | None) -> DataFrame:
+    """digested: None: ids alone; else digests, with ids if true."""
     spark = docs.sparkSession
     split = split or pattern()
     held = ranks(path or vocabulary_path())
@@ -205,11 +215,15 @@ def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -
             rows.append({"key": -1 - block, "block": block, "part": np.dtype(wide).itemsize, "ids": ids, "sizes": list(map(len, streams)), "marks": marks, "data": _pack([np.concatenate(streams).astype(wide)])})
             yield pa.RecordBatch.from_pylist(rows, fields)
 
+    made: dict = {}  # what a task makes once
+
     def encode_part(part: pa.Table) -> pa.Table:
         import tiktoken
 
         out, to = [], part.slice(0, 0) if part.column("key")[0].as_py() < 0 else part
-        single = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=found.value, special_tokens={})._encode_single_piece if len(to) else None
+        if len(to) and "single" not in made:
+            made["single"] = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=found.value, special_tokens={})._encode_single_piece
+        single = made.get("single")
         known: dict[bytes, np.ndarray] = {}
         for packed in to.column("data"):
             words = _unpack_words(packed.as_py())
@@ -239,12 +253,17 @@ def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -
                     shift = np.repeat(starts[at] - (np.cumsum(m) - m), m)
                     doc_ids.append(doc_id)
                     out.append(flat[shift + np.arange(len(shift))].tobytes())
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
+        ids = pa.array(out, pa.binary())
+        if digested is None:
+            return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids})
+        if "decoder" not in made:
+            made["decoder"] = Decoder(found.value)
+        return pa.table([pa.array(doc_ids, pa.int64()), *_digest(made["decoder"], out), *([ids] if digested else [])], _names(digested))
 
     # both groupings are by key, so the texts are split once and the one exchange of words and positions serves both
     dealt = docs.mapInArrow(split_up, schema)
     encoded = dealt.groupBy("key").applyInArrow(encode_part, "key long, part int, mark long, ids binary")
-    return encoded.groupBy("key").cogroup(dealt.groupBy("key")).applyInArrow(together, "doc_id long, ids binary")
+    return encoded.groupBy("key").cogroup(dealt.groupBy("key")).applyInArrow(together, "doc_id long, ids binary" if digested is None else _DIGESTS + ", ids binary" * digested)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -260,25 +279,35 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _names(keep: bool) -> list[str]:
+    return ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep else [])]
+
+
+def _digest(table: Decoder, raw: list[bytes]) -> list[pa.Array]:
+    """n_tokens, ids_sha256, decoded_sha256; decoded bytes are hashed in pieces."""
+    decoded = []
+    for x in raw:
+        h = hashlib.sha256()
+        for piece in table.decode(np.frombuffer(x, "<u4")):
+            h.update(piece)
+        decoded.append(h.hexdigest())
+    return [pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array(decoded, pa.string())]
+
+
 def digests(encoded: DataFrame, path: str | None = None, keep: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of encoded, and its ids if they are to be kept; decoded bytes are hashed in pieces."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of encoded, and its ids if they are to be kept."""
     found = encoded.sparkSession.sparkContext.broadcast(ranks(path or vocabulary_path()))
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Decoder(found.value)
         for batch in batches:
-            raw, decoded = batch.column(1).to_pylist(), []
-            for x in raw:
-                h = hashlib.sha256()
-                for piece in table.decode(np.frombuffer(x, "<u4")):
-                    h.update(piece)
-                decoded.append(h.hexdigest())
-            columns = [batch.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array(decoded, pa.string()), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_digest(table, batch.column(1).to_pylist()), *([batch.column(1)] if keep else [])], _names(keep))
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep)
+    return encoded.select("doc_id", "ids").mapInArrow(run, _DIGESTS + ", ids binary" * keep)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents")))
+    return encode_and_decode(table(spark, sf_dir, "documents"))

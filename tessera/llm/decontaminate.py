@@ -64,20 +64,43 @@ class Benchmark:
         return words([text for _, text in self.items], LETTERS, True)
 
     @cached_property
-    def by_length(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, sorted hashes, the first word of each) of the windows."""
+    def names(self) -> np.ndarray:
+        """The distinct ids in order; windows name items by their place here."""
+        return np.array(sorted({name for name, _ in self.items}), object)
+
+    @cached_property
+    def by_length(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, sorted hashes, the first word of each, edges, items) of the distinct windows: window i is of items[edges[i]:edges[i + 1]], in order."""
+        place = {name: i for i, name in enumerate(self.names.tolist())}
+        of_row = np.array([place[name] for name, _ in self.items], np.int32)
         out = []
         for k, at, hashes in _windows(self.found):
             order = np.argsort(hashes, kind="stable")
-            out.append((k, hashes[order], at[order].astype(np.int32)))
+            hashes, at = hashes[order], at[order]
+            # windows of one hash are told apart by their words
+            said: dict[bytes, int] = {}
+            number, first, n = np.empty(len(at), np.int64), [], 0
+            for i, (h, a) in enumerate(zip(hashes.tolist(), at.tolist(), strict=True)):
+                if not i or h != hashes[i - 1]:
+                    said = {}
+                alone = not said and (i + 1 == len(hashes) or hashes[i + 1] != h)
+                words_ = b"" if alone else _said(self.found, a, k)
+                if words_ not in said:
+                    said[words_] = n
+                    first.append(i)
+                    n += 1
+                number[i] = said[words_]
+            pairs = np.unique(np.stack([number, of_row[self.found.row[at]]], 1), axis=0)
+            edges = np.searchsorted(pairs[:, 0], np.arange(n + 1))
+            out.append((k, hashes[first], at[first].astype(np.int32), edges, pairs[:, 1].astype(np.int32)))
         return out
 
-    def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-        """(words, hit runs of words, items) of each text."""
+    def scan(self, texts: list[bytes], with_items: bool = True) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+        """(words, hit runs of words, items in order) of each text; without items: none are told."""
         mine, its = words(texts, LETTERS, True), self.found
         hits: dict[int, list[tuple[int, int]]] = {}
-        items: dict[int, set[str]] = {}
-        for k, known, at_item in self.by_length:
+        met: dict[int, dict[tuple[int, int], np.ndarray]] = {}
+        for k, known, at_item, edges, items in self.by_length:
             at, hashes = mine.runs(k)
             place = np.searchsorted(known, hashes)
             for i in np.flatnonzero(known[np.minimum(place, len(known) - 1)] == hashes).tolist():
@@ -89,8 +112,9 @@ class Benchmark:
                     said = said or _said(mine, a, k)
                     if _said(its, int(at_item[j]), k) == said:
                         hits.setdefault(row, []).append((a - int(mine.first[row]), a - int(mine.first[row]) + k))
-                        items.setdefault(row, set()).add(self.items[int(its.row[at_item[j]])][0])
-        return [(n, merged(hits.get(row, ())), items.get(row, set())) for row, n in enumerate(np.diff(mine.first).tolist())]
+                        met.setdefault(row, {})[k, j] = items[edges[j] : edges[j + 1]]
+        named = {row: self.names[np.unique(np.concatenate(list(of.values())))].tolist() for row, of in met.items()} if with_items else {}
+        return [(n, merged(hits.get(row, ())), named.get(row, [])) for row, n in enumerate(np.diff(mine.first).tolist())]
 
 
 def merged(spans: list[tuple[int, int]] | tuple) -> list[tuple[int, int]]:
@@ -104,9 +128,9 @@ def merged(spans: list[tuple[int, int]] | tuple) -> list[tuple[int, int]]:
     return runs
 
 
-def _columns(found: list[tuple[list[tuple[int, int]], set[str]]]) -> list[pa.Array]:
+def _columns(found: list[tuple[list[tuple[int, int]], list[str]]]) -> list[pa.Array]:
     spans = pa.array([[{"start": a, "end": b} for a, b in runs] for runs, _ in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-    return [pa.array([sum(b - a for a, b in runs) for runs, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64()), pa.array([",".join(sorted(x)) for _, x in found], pa.string()), spans]
+    return [pa.array([sum(b - a for a, b in runs) for runs, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64()), pa.array([",".join(x) for _, x in found], pa.string()), spans]
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -174,7 +198,7 @@ def hits_by_join(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Data
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(merged([(x["at"], x["at"] + x["k"]) for x in spots]), set(names)) for spots, names in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [(merged([(x["at"], x["at"] + x["k"]) for x in spots]), sorted(set(names))) for spots, names in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(found)], ["row", "n_hit", "n_items", "items", "spans"])
 
     windows = written(items.select("item", "text").mapInArrow(of_items, "item string, k int, hash long, said binary").distinct(), "windows")
@@ -205,6 +229,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, most: int = MAX_BENCHMARK) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            yield batch.filter(pa.array([not runs for _, runs, _ in shared.value.scan(texts)], pa.bool_()))
+            yield batch.filter(pa.array([not runs for _, runs, _ in shared.value.scan(texts, False)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -87,7 +87,8 @@ def parse(html: str, labels: dict[int, int] | None = None) -> Page:
     """The variables of a page. labels: of elements, by the place of their opening tag."""
     page = Page([-1], ["html"], [[]], [None])
     stack: list[tuple[str, int, bool]] = [("", 0, True)]
-    held: dict[str, int] = defaultdict(int)  # open elements by tag
+    spots: dict[str, list[int]] = defaultdict(lambda: [0])  # places in the stack of open elements, by tag
+    blocks = [0]  # those of elements that aren't inline
     block = at = links = 0
 
     def text(a: int, b: int) -> None:
@@ -97,9 +98,11 @@ def parse(html: str, labels: dict[int, int] | None = None) -> Page:
 
     def pop(to: int) -> None:
         nonlocal links
-        for t, _, _ in stack[to:]:
-            held[t] -= 1
+        for t, _, is_block in stack[to:]:
+            spots[t].pop()
             links -= t == "a"
+            if is_block:
+                blocks.pop()
         del stack[to:]
 
     while m := _OPENS.search(html, at):
@@ -121,12 +124,9 @@ def parse(html: str, labels: dict[int, int] | None = None) -> Page:
         if not inline:
             block += 1
         if closing:
-            for i in range(len(stack) - 1, 0, -1) if held[tag] else ():
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if inline and stack[i][2]:
-                    break
+            last = spots[tag][-1]
+            if last and not (inline and blocks[-1] > last):  # an inline element isn't closed through a block
+                pop(last)
             continue
         if tag in _RAW and not closed:
             end = _RAW_ENDS[tag].search(html, at)
@@ -137,12 +137,9 @@ def parse(html: str, labels: dict[int, int] | None = None) -> Page:
             continue
         if not inline:
             closes, stop = _CLOSES.get(tag, ({"p"}, _ENDS_SEARCH))
-            for i in range(len(stack) - 1, 0, -1) if held["p"] or any(held[t] for t in closes) else ():
-                if stack[i][0] in closes or stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] in stop:
-                    break
+            last = max(spots["p"][-1], *(spots[t][-1] for t in closes))
+            if last and last > max(spots[t][-1] for t in stop):
+                pop(last)
         node = stack[-1][1]
         names, label = [], (labels or {}).get(m.start())
         for key, value in attributes:
@@ -157,8 +154,10 @@ def parse(html: str, labels: dict[int, int] | None = None) -> Page:
             page.label.append(label)
             node = len(page.parent) - 1
         if not (closed and tag in _DROPPED):
+            spots[tag].append(len(stack))
+            if not inline:
+                blocks.append(len(stack))
             stack.append((tag, node, not inline))
-            held[tag] += 1
             links += tag == "a"
     text(at, len(html))
     return page

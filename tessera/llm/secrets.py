@@ -84,25 +84,26 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
 _ROW = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.int64())])
 
 
-def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
-    """Per row of docs (doc_id, text): row, doc_id, text, found (array of start, kind, end, hash), owner, repository.
+def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, row: str | None = None) -> DataFrame:
+    """Per row of docs (doc_id, text): row, doc_id, found (array of start, kind, end, hash), owner, repository.
 
-    row numbers the rows; it is fixed once the result has been written.
+    row numbers the rows: a column of docs that does so, or a new number, which is fixed once the result has been written.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
-    read = docs.select("doc_id", "text", owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
+    number = F.lit(None) if row is None else F.col(row)
+    read = docs.select("doc_id", "text", number.cast("long").alias("_row"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        number = count((task.partitionId() if task else 0) << 40)
+        following = count((task.partitionId() if task else 0) << 40)
         for batch in batches:
             found = []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 found.append([dict(zip(("start", "kind", "end", "hash"), x, strict=True)) for x in candidates(text, base_spans(text))])
-            rows = pa.array([next(number) for _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(found, pa.list_(_ROW)), batch.column(2), batch.column(3)], ["row", "doc_id", "found", "owner", "repository"])
+            rows = pa.array([next(following) for _ in found], pa.int64()) if row is None else batch.column(2)
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(found, pa.list_(_ROW)), batch.column(3), batch.column(4)], ["row", "doc_id", "found", "owner", "repository"])
 
     return read.mapInArrow(run, "row long, doc_id long, found array<struct<start:long,kind:int,end:long,hash:long>>, owner string, repository string")
 
@@ -158,15 +159,16 @@ def digests(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every secret span of its text replaced by mask and n_chars counted anew.
 
-    The spans are found again in place; which candidates are live comes from the corpus's ownership counts,
-    sent back as the set of hashes that each doc_id needs.
+    The rows are numbered and written once. The spans are found again in place; which candidates are live comes from the corpus's ownership counts,
+    sent back as the set of hashes that each row needs.
     """
     columns = docs.columns
-    owner, hashes = fresh(docs, "live_doc_id"), fresh(docs, "live_hashes")
-    scanned = written(scan(docs), "secrets")
-    others = scanned.select("row", "doc_id", F.explode(F.filter("found", lambda s: s["kind"] == 3)).alias("f")).select("row", "doc_id", "f.start", "f.hash").withColumn("salt", _salt())
-    keys = others.join(copied(scanned), ["hash", "salt"], "left_anti").groupBy("doc_id").agg(F.collect_set("hash").alias(hashes)).withColumnRenamed("doc_id", owner)
-    both = docs.join(keys, F.col("doc_id").eqNullSafe(F.col(owner)), "left").drop(owner)
+    row, hashes = fresh(docs, "row"), fresh(docs, "live_hashes")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    scanned = written(scan(numbered, row=row), "secrets")
+    others = scanned.select("row", F.explode(F.filter("found", lambda s: s["kind"] == 3)).alias("f")).select("row", "f.start", "f.hash").withColumn("salt", _salt())
+    keys = others.join(copied(scanned), ["hash", "salt"], "left_anti").groupBy(F.col("row").alias(row)).agg(F.collect_set("hash").alias(hashes))
+    both = numbered.join(keys, row, "left").drop(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

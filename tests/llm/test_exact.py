@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from time import perf_counter
 
 import duckdb
 import numpy as np
 import tiktoken
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, components, decontaminate, frames, jaccard, secrets, sharding, substrings
 from tessera.llm.frames import block_of, shared_dir
@@ -33,9 +35,10 @@ def test_bpe_is_what_tiktoken_does(spark):
             ids = library.encode_ordinary(t or "")
             want.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode())))
         encoded = bpe.encode(docs)
-        assert key(bpe.digests(encoded).collect()) == key(want)
+        assert key(bpe.digests(encoded).collect()) == key(want) == key(bpe.encode_and_decode(docs).collect())
+        assert key(bpe.digests(encoded, keep=True).collect()) == key(bpe.encode_and_decode(docs, keep=True).collect())
     assert sorted(bytes(r.data) for r in bpe.decode(encoded).collect()) == sorted((t or "").encode() for _, t in AWKWARD)
-    assert bpe.digests(bpe.encode(empty(spark))).count() == 0
+    assert bpe.digests(bpe.encode(empty(spark))).count() == 0 == bpe.encode_and_decode(empty(spark)).count()
 
 
 def test_bpe_splits_newer_characters_as_the_library_does():
@@ -408,3 +411,24 @@ def test_runs_beyond_the_bounds(spark, monkeypatch):
 
 def test_extra_columns_are_those_that_clash():
     assert "block" in EXTRA and "_shard" in EXTRA
+
+
+def test_many_items_with_one_opening():
+    opening = " ".join(f"w{i}" for i in range(10))
+    items = [(f"i{i:05d}", f"{opening} end {i}".encode()) for i in range(40_000)]
+    held = decontaminate.Benchmark([*items, ("i00007", f"{opening} twice".encode()), ("short", b"just three words")])
+    held.scan([b""])  # windows are grouped once
+    texts = [f"{opening} and {opening} end 31 x".encode(), b"nothing here", b"Just three WORDS, " + opening.encode()] * 20
+    began = perf_counter()
+    found = held.scan(texts)
+    assert (perf_counter() - began) / 40 < 0.05
+    names = [name for name, _ in items]
+    assert found[0] == (24, [(0, 10), (11, 23)], names) and found[1] == (2, [], []) and found[2] == (13, [(0, 13)], [*names, "short"])
+    assert held.scan(texts[:1], False) == [(24, [(0, 10), (11, 23)], [])]
+
+
+def test_redaction_of_many_rows_without_id(spark):
+    rows = [(None, f"a key zQ8{i:05d}xV5kP2mN7rT4w here", "en", f"s{i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row string")
+    got = secrets.redact(docs.withColumnRenamed("row", "source").withColumn("row", F.lit("mine"))).collect()
+    assert {r.text for r in got} == {"a key [SECRET] here"} and {r.row for r in got} == {"mine"} and len(got) == 600

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from html import unescape
 from random import Random
+from time import perf_counter
 
 import numpy as np
 
@@ -115,6 +116,9 @@ def test_long_odd_pages_take_no_longer():
         assert process_time() - before < 6, unit
     began = process_time()
     html.parse("<a " * (n // 3))
+    began = perf_counter()
+    page = html.parse("<li><ul>" + "<x>" * 60_000 + "<li></li>" * 60_000 + "<p>" + "<b>" * 60_000 + "<div>" * 60_000 + "</b></p>" * 60_000)
+    assert perf_counter() - began < 10 and len(page.parent) > 170_000
     assert process_time() - began < 1
 
 
