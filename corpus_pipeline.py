@@ -58,7 +58,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null text counts as empty: it has no ids and the hash of no bytes; repeated rows give repeated results.
     """
-    return bpe.digests(bpe.encode(docs), keep=True)
+    return bpe.encode_and_decode(docs, keep=True)
 
 
 STAGES = [
