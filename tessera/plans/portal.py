@@ -47,14 +47,14 @@ def portal_items(spark, sf_dir):
     return made.withColumn("image", F.array_join("images", ",")).drop("images")
 
 
-@query(f"with t as ({_PRICED}), f as (select *, k % 4 = 0 as terrace, k % 6 = 0 as garage from t) select k::varchar as external_id, case when k % 2 = 0 then 'https://www.milanuncios.com/pisos/' || k || '.htm' else 'https://m.example/' || k || '.htm' end as url, p_name as title, price, upper(p_brand[1]) || lower(p_brand[2:]) as city, upper(p_brand[1]) || lower(p_brand[2:]) as neighborhood, p_size as size_m2, case when k % 5 <> 0 then k % 8 end::int as rooms, case when terrace or garage then 80 else 60 end as opportunity_score, concat_ws(',', case when terrace then '☀️ Terraza/Exterior' end, case when garage then '🚗 Garaje/Parking' end) as reasons, p_name || ' ' || price || ' € ' || p_size || ' m²' || case when k % 5 <> 0 then ' ' || k % 8 || ' HAB.' else '' end || case when terrace then ' con Balcón' else '' end || case when garage then ' y cochera' else '' end as description from f where k % 7 <> 0 and price > 24000")
+@query(f"with t as ({_PRICED}), f as (select *, k % 4 = 0 as terrace, k % 6 = 0 as garage from t) select k::varchar as external_id, case when k % 2 = 0 then 'https://www.milanuncios.com/pisos/' || k || '.htm' else 'https://m.example/' || k || '.htm' end as url, p_name as title, price, upper(p_brand[1]) || lower(p_brand[2:]) as city, upper(p_brand[1]) || lower(p_brand[2:]) as neighborhood, p_size as size_m2, case when k % 5 <> 0 then k % 8 end::int as rooms, case when terrace or garage then 80 else 60 end as opportunity_score, concat_ws(',', case when terrace then '☀️ Terraza/Exterior' end, case when garage then '🚗 Garaje/Parking' end) as reasons, p_name || ' ' || price || ' € ' || p_size || ' m²' || case when k % 5 <> 0 then ' ' || k % 8 || ' HAB.' else '' end || case when terrace then ' con Balcón' else '' end || case when garage then ' y cochera' else '' end as description from f where k % 7 <> 0 and price > 22700")
 def portal_adverts(spark, sf_dir):
     """Plain cards: rooms, terrace and garage are told by their text only."""
     k, price = col(K), (F.round("p_retailprice").cast("bigint") * 25).cast("string")
     href = F.concat(F.when(k % 2 == 0, "/pisos/").otherwise("https://m.example/"), _part(K), lit(".htm"))
     more = F.concat(F.when(k % 5 != 0, F.concat(lit(" "), (k % 8).cast("string"), lit(" HAB."))).otherwise(""), F.when(k % 4 == 0, " con Balcón").otherwise(""), F.when(k % 6 == 0, " y cochera").otherwise(""))
     card = F.concat(lit('<article data-x="1"><a href="'), href, lit('"><h2 class="t">'), col("p_name"), lit("</h2></a>"), F.when(k % 7 == 0, "").otherwise(F.concat(lit('<div class="ma-AdPrice-value">'), price, lit(" €</div>"))), lit("<p>"), _part("p_size"), lit(" m²"), more, lit("</p></article>"))
-    made = cards.adverts(_pages(spark, sf_dir, card), "html", "https://www.milanuncios.com", col("p_brand"), 24_000)
+    made = cards.adverts(_pages(spark, sf_dir, card), "html", "https://www.milanuncios.com", col("p_brand"), 22_700)
     return made.withColumn("reasons", F.array_join("opportunity_reasons", ",")).drop("opportunity_reasons")
 
 
@@ -67,12 +67,12 @@ def dashboard_filters(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-@query("select p_partkey as id, case when p_partkey % 2 = 0 then 'new ' || p_name else p_name end as title, case when p_partkey % 2 = 0 then (case when p_retailprice < 950 then 80 else 50 end) when p_partkey % 3 = 0 then 95 else 60 end as opportunity_score from part")
+@query("select p_partkey as id, case when p_partkey % 2 = 0 then 'new ' || p_name else p_name end as title, case when p_partkey % 2 = 0 then (case when p_retailprice < 910 then 80 else 50 end) when p_partkey % 3 = 0 then 95 else 60 end as opportunity_score from part")
 def score_and_save(spark, sf_dir):
     """Rows found again are scored anew before they are merged: the score that their source gave them is overwritten."""
     part = table(spark, sf_dir, "part").select(col(K).alias("id"), col("p_name").alias("title"), col("p_retailprice").alias("price"), F.when(col(K) % 3 == 0, scoring.auction_score()).otherwise(scoring.amenity_score(lit(False), lit(False))).alias("opportunity_score"))
     found = part.filter("id % 2 = 0").withColumn("title", F.concat(lit("new "), "title"))
-    return merge.scored_and_saved(part, found, "id", scoring.binary_score(col("price"), lit(950))).select("id", "title", "opportunity_score")
+    return merge.scored_and_saved(part, found, "id", scoring.binary_score(col("price"), lit(910))).select("id", "title", "opportunity_score")
 
 
 @query("select c_custkey, case when c_custkey % 2 = 0 then -c_acctbal else c_acctbal end as c_acctbal, case when c_custkey % 4 = 0 then (case when c_custkey % 8 <> 0 then 'seg ' || c_custkey end) else c_mktsegment end as c_mktsegment from customer")

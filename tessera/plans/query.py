@@ -39,7 +39,12 @@ def text_match(column: Column, query: str, kind: str = "plain") -> Column:
     websearch: all words and quoted phrases, but none of those with a minus before them, where "or" parts alternatives; raw: words joined
     by & and | (& first), ! before those that must not be there."""
     line = word_line(column)
-    has = lambda said: F.contains(line, F.lit(f" {' '.join(tokens(said))} ")) if tokens(said) else F.lit(True)
+    return matched(lambda words: F.contains(line, F.lit(f" {' '.join(words)} ")), query, kind)
+
+
+def matched(phrase: Callable[[list[str]], Column], query: str, kind: str = "plain") -> Column:
+    """The condition that a search means; phrase says whether words stand next to each other in a text."""
+    has = lambda said: phrase(tokens(said)) if tokens(said) else F.lit(True)
     every = lambda parts: reduce(and_, parts, F.lit(True))
     if kind == "phrase":
         return has(query)
@@ -47,11 +52,11 @@ def text_match(column: Column, query: str, kind: str = "plain") -> Column:
         return reduce(or_, map(has, tokens(query)), F.lit(False))
     if kind == "websearch":
         ways: list[list[Column]] = [[]]
-        for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
+        for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
             if word.lower() == "or" and not minus:
                 ways.append([])
-            elif tokens(phrase or word):
-                ways[-1].append(~has(phrase or word) if minus else has(phrase or word))
+            elif tokens(quoted or word):
+                ways[-1].append(~has(quoted or word) if minus else has(quoted or word))
         return reduce(or_, [every(w) for w in ways if w] or [F.lit(True)])
     if kind == "raw":
         one = lambda w: ~has(w) if w.strip().startswith("!") else has(w)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from tessera.operators import upkeep
 from tessera.operators.keyed import KeyedTable
 from tessera.operators.queue import Queue, worked
+from tessera.operators.search import ENDINGS, TextIndex, stem_match, stemmed
 from tessera.plans.catalog import query
-from tessera.sources.tables import table
+from tessera.plans.query import Query
+from tessera.sources.tables import table, text_or
 from tessera.streaming import pipelines, state
 
 col, lit = F.col, F.lit
@@ -122,3 +127,106 @@ def harvest_rounds(spark, sf_dir):
     days = events.select("user_id", col("event_type").alias("item"), (F.datediff(F.to_date("ts"), first) + 1).alias("day"))
     _, rounds = state.harvest(events.select("user_id"), lambda number, open_: days.filter(col("day") == number).join(open_, "user_id", "left_semi"))
     return rounds
+
+
+@query("select n, poor, rich, nameless from (select count(*) as n, count(*) filter (where c_acctbal < 0) as poor, count(*) filter (where c_acctbal > 5000) as rich, count(*) filter (where c_name is null) as nameless from customer)")
+def run_counters(spark, sf_dir):
+    """Counters of a run, taken while its rows are written."""
+    counts = upkeep.saved_with_counts(table(spark, sf_dir, "customer"), f"{pipelines.scratch(spark)}/run", poor=col("c_acctbal") < 0, rich=col("c_acctbal") > 5000, nameless=col("c_name").isNull())
+    return spark.createDataFrame([tuple(counts[k] for k in ("n", "poor", "rich", "nameless"))], "n bigint, poor bigint, rich bigint, nameless bigint")
+
+
+@query("select p_partkey as id, p_name as title, p_retailprice::varchar as price, p_brand as city from part")
+def table_function(spark, sf_dir):
+    """A function that makes rows, called laterally in SQL by its name."""
+    upkeep.register_functions(spark)
+    part = table(spark, sf_dir, "part")
+    item = F.to_json(F.struct(col("p_name").alias("title"), col("p_retailprice").cast("string").alias("price"), col("p_brand").alias("city")))
+    reply = F.when(col("p_partkey") % 2 == 0, F.concat(lit('Here:\n```json\n{"properties":['), item, lit("]}\n```"))).otherwise(F.concat(lit("["), item, lit("]")))
+    return spark.sql("select id, title, price, city from {replies}, lateral read_reply(reply)", replies=part.select(col("p_partkey").alias("id"), reply.alias("reply")))
+
+
+@query("with m as (select max(ts) - interval 7 days as oldest from events) select event_id, ts, ts::date as day from events, m where ts >= oldest")
+def retention_by_day(spark, sf_dir):
+    """Messages kept by day: expired days are dropped whole, the day of the edge is written anew; done twice."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts").filter("ts is not null")
+    where = f"{pipelines.scratch(spark)}/days"
+    upkeep.keep_by_day(events, where, "ts")
+    oldest = events.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).cast("string").alias("t")).first().t
+    for _ in range(2):
+        upkeep.retain(spark, where, oldest, "ts")
+    return spark.read.schema("event_id bigint, ts timestamp_ntz, day date").parquet(where)
+
+
+@query("""select 'cheap' as asked, count(*) as exact, true as near from orders where o_totalprice < 100000 union all select 'dear', count(*), true from orders where o_totalprice > 300000 union all select 'none', count(*), true from orders where o_totalprice < -1
+union all select 'urgent', count(*), true from orders where o_orderpriority = '1-URGENT' union all select 'both', count(*), true from orders where o_totalprice < 200000 and o_orderpriority = '5-LOW'""")
+def planned_counts(spark, sf_dir):
+    """How many rows the plan expects, by stored histograms, against the rows that are there: near if within a factor of 2 (and 10 rows)."""
+    held = upkeep.Analyzed(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), ["o_orderkey", "o_totalprice", "o_orderpriority"])
+    try:
+        rows = held.frame()
+        asked = {"cheap": col("o_totalprice") < 100_000, "dear": col("o_totalprice") > 300_000, "none": col("o_totalprice") < -1, "urgent": col("o_orderpriority") == "1-URGENT", "both": (col("o_totalprice") < 200_000) & (col("o_orderpriority") == "5-LOW")}
+        made = []
+        for name, said in asked.items():
+            planned, exact = upkeep.planned_count(rows.filter(said)), rows.filter(said).count()
+            made.append((name, exact, planned is not None and exact <= 2 * planned + 10 and planned <= 2 * exact + 10))
+    finally:
+        held.drop()
+    return spark.createDataFrame(made, "asked string, exact bigint, near boolean")
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_LINE = f"' ' || array_to_string({_WORDS}, ' ') || ' '"
+
+
+@query(f"""with w as (select doc_id, {_LINE} as w from documents where text is not null)
+select 'plain' as kind, doc_id from w where contains(w, ' the ') and contains(w, ' of ') union all select 'phrase', doc_id from w where contains(w, ' of the ') union all
+select 'any', doc_id from w where contains(w, ' una ') or contains(w, ' ado ') union all select 'websearch', doc_id from w where (contains(w, ' of the ') and not contains(w, ' was ')) or contains(w, ' una ') union all
+select 'raw', doc_id from w where (contains(w, ' the ') and not contains(w, ' of ')) or contains(w, ' ado ') union all select 'without', doc_id from w where not contains(w, ' the ')""")
+def text_index(spark, sf_dir):
+    """All kinds of searches by a stored index; its postings of the terms asked for are what is read."""
+    index = TextIndex(spark, f"{pipelines.scratch(spark)}/index")
+    index.build(table(spark, sf_dir, "documents"), "doc_id", "text")
+    asked = {"plain": "the, of", "phrase": "of the", "any": "una ado", "websearch": '"Of the" -was OR una', "raw": "the & !of | ado"}
+    found = [index.search(said, kind).select(lit(kind).alias("kind"), col("id").alias("doc_id")) for kind, said in asked.items()]
+    found.append(index.search("-the", "websearch").select(lit("without").alias("kind"), col("id").alias("doc_id")))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _sql_stem(word, language):
+    word = f"translate({word}, 'áéíóúüñ', 'aeiouun')" if language == "spanish" else word
+    ways = " ".join(f"when ends_with({word}, '{e}') and length({word}) >= {n + len(e)} then {word}[:-{len(e) + 1}]" for e, n in sorted(ENDINGS[language].items(), key=lambda x: -len(x[0])))
+    return f"case {ways} else {word} end"
+
+
+def _sql_stems(language):
+    return f"' ' || array_to_string(list_transform({_WORDS}, lambda x: {_sql_stem('x', language)}), ' ') || ' '"
+
+
+@query(f"select doc_id, contains({_sql_stems('english')}, ' enthou ') as english, contains({_sql_stems('spanish')}, ' la ') and contains({_sql_stems('spanish')}, ' un ') as spanish, len({_WORDS}) as n_words from documents where text is not null")
+def text_stems(spark, sf_dir):
+    """Searches over stems, by two languages' endings; each distinct word is stemmed once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null")
+    english = stemmed(docs, "doc_id", "text", "english").select("doc_id", stem_match(col("stems"), "enthoues", spark, "english").alias("english"), F.size("stems").cast("bigint").alias("n_words"))
+    spanish = stemmed(docs, "doc_id", "text", "spanish").select("doc_id", stem_match(col("stems"), "la, un", spark, "spanish").alias("spanish"))
+    return english.join(spanish, "doc_id")
+
+
+@query("select c_custkey, c_name, c_acctbal, c_mktsegment from customer order by c_custkey limit 200")
+def sql_exported(spark, sf_dir):
+    """Rows as INSERT statements, and those read back: values between the brackets."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").orderBy("c_custkey")
+    said = upkeep.sql_export({"customer": rows}, 200).filter("place like '%b'")
+    part = lambda n: F.regexp_extract("statement", r"VALUES \((.*?), '(.*?)', '(.*?)'::DOUBLE, '(.*?)'\)$", n)
+    return said.select(part(1).cast("bigint").alias("c_custkey"), part(2).alias("c_name"), part(3).cast("double").alias("c_acctbal"), part(4).alias("c_mktsegment"))
+
+
+@query("select n_nationkey, n_name, 1 as found, 'no file' as missing, (select count(*) from nation) as lines from nation where n_nationkey = 3")
+def single_row(spark, sf_dir):
+    """One row by its key, none by a key that isn't there; a file's text, and the words for a file that isn't there."""
+    nation = Query(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    one, none = nation.where("n_nationkey", "eq", 3).single(), nation.where("n_nationkey", "eq", -1).maybe_single()
+    where = f"{pipelines.scratch(spark)}/names"
+    nation.select("n_name").frame().coalesce(1).write.text(where)
+    said, missing = text_or(spark, where, "no file"), text_or(spark, f"{where}/none", "no file")
+    return spark.createDataFrame([(one["n_nationkey"], one["n_name"], 1 if none is None else 2, missing, len(said.split()))], "n_nationkey int, n_name string, found int, missing string, lines bigint")

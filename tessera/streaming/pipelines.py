@@ -83,40 +83,6 @@ def windowed(stream: DataFrame, time: str, span: str, late: str, by: list[str])
     return timed.groupBy(F.window(time, span), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *by, "n")
 
 
-def _complete(spark: SparkSession, table_path: str) -> list[int]:
-    """Versions of a table that were written to their end."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v=*/_SUCCESS")) or []
-    return sorted(int(s.getPath().getParent().getName()[2:]) for s in found)
-
-
-def newest(spark: SparkSession, table_path: str) -> DataFrame | None:
-    """The newest version of a merged table, or None."""
-    versions = _complete(spark, table_path)
-    return spark.read.parquet(f"{table_path}/v={versions[-1]}") if versions else None
-
-
-def merge_into(table_path: str, on: str, time: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into a table of versions: of each key the row with the latest time counts, in the batch and against
-    what is stored. So a batch that is run again, or another stream into the same table, goes on from the newest version and changes
-    nothing twice. Each batch writes the table anew, so batches should be large; the two newest versions are kept.
-    """
-
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stored, versions = newest(spark, table_path), _complete(spark, table_path)
-        rows = batch if stored is None else batch.unionByName(stored, allowMissingColumns=True)
-        last = rows.groupBy(on).agg(F.max(F.struct(time, *(c for c in rows.columns if c not in (on, time)))).alias("_last"))
-        following = max(versions, default=-1) + 1
-        last.select(on, "_last.*").select(rows.columns).write.mode("overwrite").parquet(f"{table_path}/v={following}")
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
-        for old in versions[:-1]:
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v={old}"), True)
-
-    return each
-
-
 def latest_of(stream: DataFrame, time: str, *columns: str) -> DataFrame:
     """One row: the newest of a stream by time (the state that a page polls)."""
     return stream.agg(F.max(F.struct(time, *columns)).alias("_last")).select("_last.*")

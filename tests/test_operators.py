@@ -118,19 +118,6 @@ def test_event_lines_and_requeue(spark):
     assert [(r.id, r.status, r.source_name) for r in got] == [(1, "pending", "Monitoring: s")]
 
 
-def test_merge_goes_on_from_what_is_stored(spark):
-    where = pipelines.scratch(spark)
-    batch = lambda *r: spark.createDataFrame(r, "id int, ts int, x string")
-    assert pipelines.newest(spark, where) is None
-    pipelines.merge_into(where, "id", "ts")(batch((1, 1, "a"), (2, 5, "b"), (1, 2, "z")), 0)
-    pipelines.merge_into(where, "id", "ts")(batch((3, 1, "c"), (2, 4, "old"), (1, 3, None)), 0)  # another stream, which begins at 0 again
-    want = [(1, 3, None), (2, 5, "b"), (3, 1, "c")]
-    assert rows(pipelines.newest(spark, where)) == want
-    for again in (batch((3, 1, "c")), batch((3, 1, "c")).filter("false")):
-        pipelines.merge_into(where, "id", "ts")(again, 1)
-        assert rows(pipelines.newest(spark, where)) == want
-
-
 def test_rounds_and_text_or(spark, tmp_path):
     from tessera.sources.tables import text_or
 

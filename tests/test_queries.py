@@ -6,11 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import catalog, rules  # noqa: F401
+from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Queries without rows over the smallest tables, and why. None is empty over sf0.01.
+EMPTY: dict[str, str] = {}
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -31,7 +34,9 @@ def test_matches_sql(spark, duck, name):
     names = [x[0] for x in said.description]
     assert sorted(names) == sorted(df.columns)
     by = lambda cols: sorted(range(len(cols)), key=lambda i: cols[i])
-    assert norm(df.collect(), by(df.columns)) == norm(said.fetchall(), by(names))
+    got = norm(df.collect(), by(df.columns))
+    assert got == norm(said.fetchall(), by(names))
+    assert got or name in EMPTY
 
 
 def test_entry(spark):

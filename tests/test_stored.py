@@ -160,3 +160,104 @@ def test_patches_tell_absent_from_null(spark):
     assert rows(merge.patch(stored, spark.createDataFrame([(1, None, "z"), (9, "n", "n")], "id int, x string, y string"), "id")) == [(1, None, "z"), (2, "c", "d"), (3, "e", "f")]
     by_row = spark.createDataFrame([(1, None, "z", ["x"]), (2, "q", None, []), (3, "w", None, None)], "id int, x string, y string, sets array<string>")
     assert rows(merge.patch(stored, by_row, "id", "sets")) == [(1, None, "b"), (2, "c", "d"), (3, "e", "f")]
+
+
+def test_text_index_is_text_match(spark, tmp_path):
+    from tessera.operators.search import TextIndex
+    from tessera.plans.query import text_match
+
+    said = ["The cat of the house", "", None, "of the", "the-of THE", "cat  cat dog", "ñandú the", " ".join(["the"] * 300 + ["end"])]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(said)] + [(None, "the dog", "x")], "n long, t string, term string")
+    index = TextIndex(spark, str(tmp_path / "i"))
+    index.build(docs, "n", "t", buckets=4, salts=3)
+    searches = [("the of", "plain"), ("of the", "phrase"), ("the of the", "phrase"), ("cat dog", "any"), ('"of the" -cat or dog', "websearch"), ("-the", "websearch"), ("the & !of | dog", "raw"), ("!the", "raw"), ("", "plain"), ("...", "phrase"), ("", "any"), ("ÑANDÚ", "plain"), ("the end", "phrase")]
+    for query, kind in searches:
+        assert rows(index.search(query, kind)) == rows(docs.filter("t is not null").filter(text_match(F.col("t"), query, kind)).select("n")), (query, kind)
+    files = lambda terms: {p.rsplit("bucket=", 1)[1][0] for p in index.postings(terms).inputFiles()}
+    read = index.postings(["dog"])
+    assert read.select(F.input_file_name().alias("f")).distinct().count() <= 3 and rows(read.select("id", "positions")) == sorted([(5, [2]), (None, [1])], key=repr)
+    assert files(["dog"]) and index.search("nowhere").count() == 0
+    held = index.postings(["the"]).filter("id = 7").first()
+    assert list(held.positions) == list(range(300))
+
+
+def test_stems(spark):
+    from tessera.operators.search import stem, stem_match, stemmed
+
+    golden = {
+        "english": {"running": "runn", "listings": "list", "walked": "walk", "quickly": "quick", "houses": "hous", "cats": "cat", "bus": "bus", "ring": "ring", "kindness": "kind", "payments": "payment", "is": "is", "": ""},
+        "spanish": {"casas": "cas", "casa": "cas", "pisos": "pis", "alquilando": "alquil", "vendido": "vend", "rápidamente": "rapida", "habitación": "habita", "habitaciones": "habita", "sol": "sol", "la": "la", "pequeños": "pequen"},
+    }
+    for language, words in golden.items():
+        df = spark.createDataFrame([(w,) for w in words], "w string").select("w", stem(F.col("w"), language).alias("s"))
+        got = {r.w: r.s for r in df.collect()}
+        assert {w: got[w] for w in words} == words
+    docs = spark.createDataFrame([(1, "Casas y pisos"), (2, None), (3, ""), (4, "una casa vendida"), (1, "Casas y pisos")], "n long, t string")
+    made = stemmed(docs.distinct(), "n", "t", "spanish")
+    assert {r.n: r.stems and list(r.stems) for r in made.collect()} == {1: ["cas", "y", "pis"], 2: None, 3: [], 4: ["una", "cas", "vend"]}
+    match = lambda q, kind="plain": rows(made.filter(stem_match(F.col("stems"), q, spark, "spanish", kind)).select("n"))
+    assert match("CASA") == [(1,), (4,)] and match("casas vendidas", "phrase") == [(4,)] and match("-casa", "websearch") == [(3,)]
+
+
+def test_planned_counts_come_from_stored_histograms(spark):
+    from tessera.operators.upkeep import Analyzed, planned_count
+
+    held = Analyzed(spark.range(10_000).select("id", (F.col("id") % 7).alias("k")), ["id", "k"])
+    try:
+        for said, exact in (("id < 1000", 1000), ("id >= 9900", 100), ("k = 3", 1429), ("id < 0", 0)):
+            assert abs(planned_count(held.frame().filter(said)) - exact) <= max(50, exact // 2)
+    finally:
+        held.drop()
+    assert spark.conf.get("spark.sql.cbo.enabled") == "false"
+
+
+def test_retention_reads_no_expired_day(spark, tmp_path):
+    from tessera.operators.upkeep import keep_by_day, retain
+
+    df = spark.range(24 * 5).select("id", (F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("created_at"))
+    path = str(tmp_path / "days")
+    keep_by_day(df, path)
+    for bad in (tmp_path / "days" / "day=2024-01-01").glob("*.parquet"):
+        bad.write_bytes(b"not parquet: to read it would fail")
+    assert retain(spark, path, "2024-01-03 12:00:00") == (["2024-01-01", "2024-01-02"], ["2024-01-03"])
+    assert rows(spark.read.schema("id long").parquet(path).select("id")) == sorted([(i,) for i in range(60, 120)], key=repr)
+    assert retain(spark, path, "2024-01-03 12:00:00") == ([], [])
+
+
+def test_counters_cost_no_second_scan(spark, tmp_path):
+    from tessera.operators.upkeep import saved_with_counts
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(100).mapInArrow(counted, "id long")
+    assert saved_with_counts(df, str(tmp_path / "out"), low=F.col("id") < 10, none=F.col("id").isNull()) == {"n": 100, "low": 10, "none": 0}
+    assert seen.value == 100 and spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_sql_export_runs(spark):
+    import duckdb
+
+    from tessera.operators.upkeep import sql_export
+
+    df = spark.createDataFrame([(1, "it's", 1.5, [1, None], True), (2, None, float("nan"), None, None), (3, "a\n\\%", float("inf"), [], False)], 'a int, "b""c" string, d double, e array<int>, f boolean'.replace('"b""c"', "`b\"c`"))
+    times = spark.range(2).select(F.expr("date'2024-02-29'").alias("d"), F.expr("timestamp_ntz'2024-01-01 01:02:03.5'").alias("t"), F.lit(None).cast("decimal(9,2)").alias("m"))
+    c = duckdb.connect()
+    for r in sql_export({"one": df, "two 2": times, "none": df.limit(0)}).orderBy("place").collect():
+        c.execute(r.statement)
+    assert repr(c.execute("select * from one order by a").fetchall()) == repr([tuple(r) for r in df.collect()])
+    assert repr(c.execute('select d, t, m from "two 2"').fetchall()) == repr([tuple(r) for r in times.collect()]) and c.execute("select count(*) from none").fetchone() == (0,)
+    assert sql_export({"one": df}, 2).count() == 3
+
+
+def test_replies_become_rows_in_sql(spark):
+    from tessera.operators.upkeep import register_functions
+
+    register_functions(spark)
+    said = ['x ```json {"properties": [{"title": "a", "price": 7}]} ``` y', '[{"city": null, "title": "b"}, 3]', "{bad", None, '"text"', '{"properties": 4}']
+    df = spark.createDataFrame(list(enumerate(said)), "n long, reply string")
+    assert rows(spark.sql("select n, title, price, city from {df}, lateral read_reply(reply)", df=df)) == [(0, "a", "7", None), (1, "b", None, None)]
