@@ -4,8 +4,9 @@ Terms (lower-cased runs of letters and digits) are hashed to 64 bits.  The docum
 is counted over the distinct texts of the whole corpus (copies, told by
 a 64-bit hash of the text, count once, however many there are).  The lexicon is the set of terms within the chosen band of inverse
 document frequency. As each of them is in LEAST_SHARE of all texts at least, they are no more than a text's mean number of terms
-divided by LEAST_SHARE (a few millions), at any size of corpus. The set is sent as a Bloom bitmap, two places a term and BITS bits for each: a
-term outside the band passes with a probability under 0.5 %, always or never, so equal texts still have equal marks.
+divided by LEAST_SHARE (a few millions), at any size of corpus. The set is a Bloom bitmap, two places a term and BITS bits for each: a
+term outside the band passes with a probability under 0.5 %, always or never, so equal texts still have equal marks. A bitmap of up to MOST_BITS
+is sent with the plan; a larger one stays a table, which the distinct terms of the texts meet in joins, with the same marks.
 The distinct terms of a document within
 the band are sorted and hashed once for each of several randomised subsets of the
 lexicon: DRAWS random orders of the terms, and of each the fractions 1/2 to 1/256,
@@ -26,15 +27,16 @@ text are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import block_of, constant, partitions, range_bounds, table, written
+from tessera.llm.frames import block_of, constant, fresh, partitions, range_bounds, table, written
 
-#: Bits of the lexicon's bitmap for each term (rounded up to a power of two), and the fewest and most that it has; a larger lexicon is refused.
-BITS, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 28
+#: Bits of the lexicon's bitmap for each term (rounded up to a power of two), the fewest that it has, and the most that are sent; beyond, texts meet it in joins.
+BITS, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 25
 #: The band: a term's share of distinct texts. Commoner terms say little, rarer ones change with any edit.
 LEAST_SHARE, MOST_SHARE = 0.0002, 0.05
 #: A term has to be in so many distinct texts at least to be in the lexicon of a small corpus.
@@ -62,16 +64,39 @@ def _places(term: Column, bits: int) -> tuple[Column, Column]:
     return term.bitwiseAND(bits - 1).cast("int"), F.shiftrightunsigned(term, 36).bitwiseAND(bits - 1).cast("int")
 
 
-def lexicon(docs: DataFrame) -> Column:
-    """The bitmap of the terms within the band, as a constant array of 64-bit integers."""
+@dataclass
+class Lexicon:
+    """The terms within the band as a bitmap: how many bits, its 64-bit words other than 0 (w, bits), and the words as a constant array if they are few."""
+
+    bits: int
+    words: DataFrame
+    bitmap: Column | None
+
+
+def lexicon(docs: DataFrame) -> Lexicon:
     found = written(band(docs).select("term"), "band")
-    bits = max(LEAST_BITS, 1 << (BITS * found.count() - 1).bit_length())
-    if bits > MOST_BITS:
-        raise ValueError("the lexicon is too large to send; raise LEAST_SHARE")
+    bits = min(1 << 31, max(LEAST_BITS, 1 << (BITS * found.count() - 1).bit_length()))
     place = found.select(F.explode(F.array(*_places(F.col("term"), bits))).alias("place"))
-    set_bit = F.expr("bit_or(shiftleft(1L, place & 63))")
-    held = dict(place.groupBy(F.shiftright("place", 6).alias("w")).agg(set_bit.alias("bits")).collect())  # at most bits / 64 rows
-    return constant([held.get(i, 0) for i in range(bits // 64)])
+    words = written(place.groupBy(F.shiftright("place", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, place & 63))").alias("bits")), "bitmap")
+    if bits > MOST_BITS:
+        return Lexicon(bits, words, None)
+    held = dict(words.collect())  # at most bits / 64 rows
+    return Lexicon(bits, words, constant([held.get(i, 0) for i in range(bits // 64)]))
+
+
+def with_chosen(rows: DataFrame, text: str, of: Lexicon) -> DataFrame:
+    """rows with chosen: the sorted distinct hashed terms of the text column that are in the lexicon."""
+    if of.bitmap is not None:
+        return rows.withColumn("chosen", in_band(F.col(text), of.bitmap))
+    row = fresh(rows, "row")
+    numbered = written(rows.withColumn(row, F.monotonically_increasing_id()), "texts")
+    each = numbered.select(row, F.explode(terms(F.col(text))).alias("term"))
+    known = each.select("term").distinct()
+    for place in _places(F.col("term"), of.bits):
+        held = known.withColumns({"w": F.shiftright(place, 6), "bit": place.bitwiseAND(63)}).join(of.words, "w")
+        known = held.filter(F.call_function("getbit", "bits", "bit") == 1).select("term")
+    chosen = each.join(known, "term", "left_semi").groupBy(row).agg(F.array_sort(F.collect_list("term")).alias("chosen"))
+    return numbered.join(chosen, row, "left").withColumn("chosen", F.coalesce("chosen", F.array().cast("array<bigint>"))).drop(row)
 
 
 def in_band(text: Column, bitmap: Column) -> Column:
@@ -110,11 +135,10 @@ def written_out(marks: Column) -> Column:
     return F.array_join(F.transform(marks, lambda m: F.coalesce(F.lpad(F.lower(F.hex(m)), 16, "0"), F.lit("-"))), "")
 
 
-def fingerprint(docs: DataFrame, bitmap: Column | None = None) -> DataFrame:
+def fingerprint(docs: DataFrame, of: Lexicon | None = None) -> DataFrame:
     """doc_id, text (null: empty), marks of each row of docs."""
-    bitmap = lexicon(docs) if bitmap is None else bitmap
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return read.withColumn("chosen", in_band(F.col("text"), bitmap)).select("doc_id", "text", marks(F.col("chosen"), F.col("text")).alias("marks"))
+    return with_chosen(read, "text", lexicon(docs) if of is None else of).select("doc_id", "text", marks(F.col("chosen"), F.col("text")).alias("marks"))
 
 
 def with_next(rows: DataFrame) -> DataFrame:
@@ -138,11 +162,11 @@ def with_next(rows: DataFrame) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    bitmap = lexicon(docs)
-    rows = with_next(fingerprint(docs, bitmap))
+    of = lexicon(docs)
+    rows = with_next(fingerprint(docs, of))
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - k), F.substr("next.text", F.lit(1), k))
     made = rows.select("doc_id", n.cast("long").alias("n_chars"), "marks", F.col("next.marks").alias("next_marks"), edited.alias("edited"))
-    marked = made.withColumn("chosen", in_band(F.col("edited"), bitmap)).withColumn("edited_marks", marks(F.col("chosen"), F.col("edited")))
+    marked = with_chosen(made, "edited", of).withColumn("edited_marks", marks(F.col("chosen"), F.col("edited")))
     return marked.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written_out(F.col("marks")).alias("fingerprint"), written_out(F.col("edited_marks")).alias("edited_fingerprint"), likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), likeness(F.col("marks"), F.col("next_marks")).alias("near_next"))

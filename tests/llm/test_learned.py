@@ -248,3 +248,13 @@ def test_fingerprint_of_a_text_that_holds_a_third_of_all_rows(spark):
     first = marked.filter("doc_id = 0").select(F.col("marks").alias("of"))
     like = {r.doc_id: r.like for r in marked.crossJoin(first).select("doc_id", fingerprints.likeness(F.col("marks"), F.col("of")).alias("like")).collect()}
     assert like[0] == 1 and like[1] > 0.4 and like[2] < 0.2
+
+
+def test_fingerprints_beyond_the_sent_bitmap(spark, monkeypatch):
+    docs = documents_of(spark).select("doc_id", "text").filter("doc_id < 200").unionByName(awkward(spark).select("doc_id", "text"))
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + i, " ".join(f"t{(i * 700 + j) % 9000}" for j in range(5_000))) for i in range(4)], "doc_id long, text string"))
+    want = sorted((r.text, r.marks) for r in fingerprints.fingerprint(docs).collect())
+    monkeypatch.setattr(fingerprints, "MOST_BITS", 1)
+    of = fingerprints.lexicon(docs)
+    assert of.bitmap is None and sorted((r.text, r.marks) for r in fingerprints.fingerprint(docs.withColumn("row", docs["doc_id"]), of).collect()) == want
+    assert fingerprints.fingerprint(empty(spark), of).count() == 0
