@@ -28,12 +28,12 @@ def any_of(text: Column, words: Sequence[str]) -> Column:
 
 
 #: White space of any kind, the no-break space before a euro sign too.
-BLANK = r"[\s\x1C-\x1F\x85\p{Z}]"
+BLANK = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip_ws(text: Column) -> Column:
     """Without white space of any kind at both ends; trim() takes spaces only."""
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANK))
 
 
 def long_enough(text: Column, n: int = 50) -> Column:
