@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from tessera.llm.frames import written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node that it is connected with) of every node of links (a, b) that isn't a root itself.
 
     Each round links every node's larger neighbours to its smallest one, then its smaller neighbours
-    likewise; the table of links shrinks to stars around the roots. Each round is written, so a lost
+    likewise; the table of links shrinks to stars around the roots, in rounds that grow with the logarithm of the nodes' number. Each round is written, so a lost
     executor costs one round at most. The driver gets two numbers a round.
     """
     pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     pairs, before = written(pairs, "links"), None
-    for _ in range(most_rounds):
+    while True:
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
@@ -28,4 +28,3 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if (row.n, row.s) == before:
             return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         before = (row.n, row.s)
-    raise RuntimeError(f"links are not yet stars after {most_rounds} rounds")
