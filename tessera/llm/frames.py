@@ -44,13 +44,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of the tables that this application has written."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written: for when its results are stored, since DataFrames that read them can't be run any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a compressed Parquet table in the shared folder, read again.
 
     Cuts the lineage: what a lost executor had done is read, not done again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     small_batches(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")

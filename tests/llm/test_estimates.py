@@ -222,3 +222,14 @@ def test_qd_solver(made):
     assert np.abs(axes.T @ axes - np.eye(len(variances))).max(initial=0) < 1e-12 and np.abs(v @ axes - axes * variances).max(initial=0) < 1e-13 * max(want, default=1) * 10
     d, e, _ = whitening.bidiagonal(np.vstack([np.linalg.qr(a, mode="r"), np.zeros((max(0, a.shape[1] - len(a)), a.shape[1]))]))
     assert np.allclose(whitening.dqds(d, e)[: min(a.shape)], np.linalg.svd(a, compute_uv=False), atol=1e-13 * max(1e-300, np.abs(a).max()) * 100)
+
+
+def test_written_tables_can_be_dropped(spark):
+    import os
+
+    from tessera.llm.frames import drop_written, run_dir, written
+
+    assert written(spark.range(3), "kept").count() == 3
+    assert os.listdir(run_dir(spark))
+    drop_written(spark)
+    assert not os.path.exists(run_dir(spark)) and written(spark.range(2), "again").count() == 2
