@@ -14,6 +14,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import merge
 from tessera.operators.relational import single
 
 WORD = r"[^\p{L}\p{N}]+"
@@ -120,24 +121,57 @@ def combined(said: tuple) -> Column:
 class Query:
     """Immutable: every call returns a new query. Ordering keys add up and are applied with limits at the end."""
 
-    def __init__(self, df: DataFrame, keys: tuple[Column, ...] = (), first: int = 0, most: int | None = None) -> None:
+    def __init__(self, df: DataFrame, keys: tuple[Column, ...] = (), first: int = 0, most: int | None = None, whole: DataFrame | None = None, kept: tuple[Column, ...] = ()) -> None:
         self.df, self.keys, self.first, self.most = df, keys, first, most
+        #: The table before any filter, and the filters: what a change of the table goes by.
+        self.whole, self.kept = df if whole is None else whole, kept
 
     def _with(self, **changes: object) -> Query:
-        return Query(**({"df": self.df, "keys": self.keys, "first": self.first, "most": self.most} | changes))
+        return Query(**({"df": self.df, "keys": self.keys, "first": self.first, "most": self.most, "whole": self.whole, "kept": self.kept} | changes))
+
+    def _filtered(self, kept: Column) -> Query:
+        return self._with(df=self.df.filter(kept), kept=(*self.kept, kept))
 
     def where(self, column: str, operator: str, value: object) -> Query:
-        return self._with(df=self.df.filter(condition(column, operator, value)))
+        return self._filtered(condition(column, operator, value))
 
     def where_not(self, column: str, operator: str, value: object) -> Query:
-        return self._with(df=self.df.filter(condition(column, operator, value, negate=True)))
+        return self._filtered(condition(column, operator, value, negate=True))
 
     def where_any(self, *conditions: tuple) -> Query:
         """A disjunction of conditions, each as combined() takes it."""
-        return self._with(df=self.df.filter(combined(("or", *conditions))))
+        return self._filtered(combined(("or", *conditions)))
 
     def match(self, **values: object) -> Query:
-        return self._with(df=self.df.filter(reduce(and_, [F.col(c) == v for c, v in values.items()])))
+        return self._filtered(reduce(and_, [F.col(c) == v for c, v in values.items()]))
+
+    # changes: each returns the whole table as it is afterwards
+
+    def _hit(self) -> Column:
+        """Whether a row passes all filters; a change without a filter, or after a limit, is refused."""
+        if not self.kept or self.most is not None or self.first:
+            raise ValueError("a change needs filters, and no limit or range")
+        return F.coalesce(reduce(and_, self.kept), F.lit(False))
+
+    def update(self, most: int | None = None, **values: object) -> DataFrame:
+        """The rows that pass get values (Columns or plain ones); most: ValueError if more rows would be changed."""
+        hit = self._hit()
+        if most is not None:
+            merge.guarded(self.df, most)
+        return merge.update_where(self.whole, hit, {c: v if isinstance(v, Column) else F.lit(v) for c, v in values.items()})
+
+    def delete(self, most: int | None = None) -> DataFrame:
+        """Without the rows that pass."""
+        hit = self._hit()
+        if most is not None:
+            merge.guarded(self.df, most)
+        return self.whole.filter(~hit)
+
+    def insert(self, rows: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
+        return merge.insert(self.whole, rows, defaults)
+
+    def upsert(self, rows: DataFrame, on: str, ignore_duplicates: bool = False) -> DataFrame:
+        return merge.upsert(self.whole, rows, on, ignore_duplicates)
 
     def order(self, column: str, ascending: bool = True, nulls_first: bool | None = None) -> Query:
         """Nulls last when ascending and first when descending, unless told otherwise."""

@@ -230,3 +230,20 @@ def single_row(spark, sf_dir):
     nation.select("n_name").frame().coalesce(1).write.text(where)
     said, missing = text_or(spark, where, "no file"), text_or(spark, f"{where}/none", "no file")
     return spark.createDataFrame([(one["n_nationkey"], one["n_name"], 1 if none is None else 2, missing, len(said.split()))], "n_nationkey int, n_name string, found int, missing string, lines bigint")
+
+
+@query("""select 'update' as change, c_custkey, case when c_mktsegment = 'BUILDING' and c_acctbal < 0 then 'poor' else c_mktsegment end as segment, c_acctbal from customer union all
+select 'delete', c_custkey, c_mktsegment, c_acctbal from customer where not (c_acctbal < 0 or c_mktsegment like 'M%') union all
+select 'insert', c_custkey, c_mktsegment, c_acctbal from customer union all select 'insert', -1 - c_custkey, 'new', null from customer where c_acctbal > 9000 union all
+select 'upsert', c_custkey, c_mktsegment, case when c_custkey % 3 = 0 then 0 else c_acctbal end from customer""")
+def qb_changes(spark, sf_dir):
+    """The builder's changes: rows that pass the filters are updated or deleted, others are inserted or merged by key."""
+    t = Query(table(spark, sf_dir, "customer").select("c_custkey", col("c_mktsegment").alias("segment"), "c_acctbal"))
+    new = t.where("c_acctbal", "gt", 9000).frame().select((-1 - col("c_custkey")).alias("c_custkey"))
+    made = {
+        "update": t.match(segment="BUILDING").where("c_acctbal", "lt", 0).update(segment="poor"),
+        "delete": t.where_any(("c_acctbal", "lt", 0), ("segment", "like", "M%")).delete(),
+        "insert": t.insert(new, {"segment": lit("new")}),
+        "upsert": t.upsert(t.whole.filter("c_custkey % 3 = 0").select("c_custkey", lit(0.0).alias("c_acctbal")), "c_custkey"),
+    }
+    return reduce(lambda a, b: a.unionByName(b), [rows.withColumn("change", lit(name)) for name, rows in made.items()])

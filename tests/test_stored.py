@@ -261,3 +261,13 @@ def test_replies_become_rows_in_sql(spark):
     said = ['x ```json {"properties": [{"title": "a", "price": 7}]} ``` y', '[{"city": null, "title": "b"}, 3]', "{bad", None, '"text"', '{"properties": 4}']
     df = spark.createDataFrame(list(enumerate(said)), "n long, reply string")
     assert rows(spark.sql("select n, title, price, city from {df}, lateral read_reply(reply)", df=df)) == [(0, "a", "7", None), (1, "b", None, None)]
+
+
+def test_changes_of_the_builder_need_filters(spark):
+    from tessera.plans.query import Query
+
+    t = Query(spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "k int, v string"))
+    assert rows(t.where("v", "eq", "a").update(v="z")) == [(1, "z"), (2, None), (3, "b")] and rows(t.where("v", "neq", "a").delete()) == [(1, "a"), (2, None)]
+    for wrong in (t.delete, t.limit(1).where("k", "eq", 1).delete, lambda: t.where("k", "gte", 1).delete(most=2), lambda: t.where("k", "gte", 1).update(most=1, v="x")):
+        with pytest.raises(ValueError):
+            wrong()
