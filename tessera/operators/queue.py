@@ -41,11 +41,11 @@ class Queue:
             if taken.isEmpty():
                 return None
             try:
-                made = self.table.merge(taken, expect=version)
+                self.table.merge(taken, expect=version)
             except Overtaken:
                 continue
-            mine = self.table.read(made).filter((F.col("worker") == worker) & (F.col("claimed_at") == now) & (F.col("status") == "processing"))
-            return mine.select("id", "requested_at", "attempts")
+            # of the version read, which stays as it is: just the requests of this claim
+            return taken.filter("status = 'processing'").select("id", "attempts").join(rows.select("id", "requested_at"), "id")
 
     def finish(self, worker: str, results: DataFrame, now: Column) -> int:
         """Records results (id, error: null if all went well) of requests that the worker still holds; others are no longer its own."""
