@@ -205,11 +205,12 @@ def _sql_stems(language):
 
 @query(f"select doc_id, contains({_sql_stems('english')}, ' enthou ') as english, contains({_sql_stems('spanish')}, ' la ') and contains({_sql_stems('spanish')}, ' un ') as spanish, len({_WORDS}) as n_words from documents where text is not null")
 def text_stems(spark, sf_dir):
-    """Searches over stems, by two languages' endings; each distinct word is stemmed once."""
+    """Searches over stems, by two languages' endings; both are made in one pass over the texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null")
-    english = stemmed(docs, "doc_id", "text", "english").select("doc_id", stem_match(col("stems"), "enthoues", spark, "english").alias("english"), F.size("stems").cast("bigint").alias("n_words"))
-    spanish = stemmed(docs, "doc_id", "text", "spanish").select("doc_id", stem_match(col("stems"), "la, un", spark, "spanish").alias("spanish"))
-    return english.join(spanish, "doc_id")
+    english = stemmed(docs, "doc_id", "text", "english").withColumnRenamed("stems", "english_stems")
+    both = stemmed(english, "doc_id", "text", "spanish")
+    found = {"english": stem_match(col("english_stems"), "enthoues", spark, "english"), "n_words": F.size("english_stems").cast("bigint"), "spanish": stem_match(col("stems"), "la, un", spark, "spanish")}
+    return both.select("doc_id", *(c.alias(name) for name, c in found.items()))
 
 
 @query("select c_custkey, c_name, c_acctbal, c_mktsegment from customer order by c_custkey limit 200")

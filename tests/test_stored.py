@@ -199,6 +199,44 @@ def test_stems(spark):
     assert match("CASA") == [(1,), (4,)] and match("casas vendidas", "phrase") == [(4,)] and match("-casa", "websearch") == [(3,)]
 
 
+def test_stems_lose_the_longest_ending_that_fits(spark):
+    from tessera.operators.search import ENDINGS, stem, stemmed
+
+    for language, endings in ENDINGS.items():
+        words = sorted({begun + a + b for begun in ("", "x", "xy", "xyz", "wxyz", "\U00010428y", "\U00010428yz") for a in ("", *endings) for b in ("", *endings)} - {""})
+        longest = {w: max((e for e, least in endings.items() if w.endswith(e) and len(w) >= least + len(e)), key=len, default="") for w in words}
+        expected = {w: w[: len(w) - len(longest[w])] for w in words}
+        df = spark.createDataFrame([(w,) for w in words], "w string")
+        assert {r.w: r.s for r in df.select("w", stem(F.col("w"), language).alias("s")).collect()} == expected
+        line = spark.createDataFrame([(1, " ".join(words))], "n long, t string")
+        assert list(stemmed(line, "n", "t", language).first().stems) == [expected[w] for w in words]
+
+
+def test_stems_are_made_without_a_shuffle(spark):
+    from tessera.operators.search import stemmed
+
+    docs = spark.createDataFrame([(1, "Casas y pisos"), (1, "una casa"), (None, "pisos"), (None, None), (2, "...")], "n long, t string")
+    made = stemmed(docs, "n", "t", "spanish")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert rows(made.select("n", F.array_join("stems", " "))) == sorted([(1, "cas y pis"), (1, "una cas"), (None, "pis"), (None, None), (2, "")], key=repr)
+
+
+def test_text_stems_sends_no_words_and_keeps_every_row(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans import catalog, stored  # noqa: F401  (adds its queries to the catalog)
+
+    said = ["Enthoues, la casa un", "enthou", "ENTHOUED - las unos", "lá ... ún", "la un la un", "", " ", None, "enthousiast LA\nUN", "\U00010400enthou la", "enthou\u0301 un la", "12 la3 un"]
+    docs = [(i, t) for i, t in enumerate(said)] + [(0, "un, la"), (1, "enthou"), (1, "enthou"), (None, "enthous"), (None, "la un"), (None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.QUERIES["text_stems"](spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(found.select("doc_id", "english", "spanish", "n_words")) == sorted(c.execute(catalog.ORACLES["text_stems"]).fetchall(), key=repr)
+    assert found.count() == sum(t is not None for _, t in docs)
+
+
 def test_planned_counts_come_from_stored_histograms(spark):
     from tessera.operators.upkeep import Analyzed, planned_count
 
